@@ -4,7 +4,7 @@ A text's k-mers are shingles of five words, each labelled with its occurrence nu
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
 with a probability that follows edit similarity. Equal contents are one node. Nodes that share an element are candidates:
 small buckets give all their pairs, larger ones are dealt out again by pairs of elements, and what is large even then is
-linked to its first node and along its order. Banded alignment of the words verifies each candidate pair. Classes
+linked to its first node and along its order. Pairs that meet in too few small buckets are let go. Banded alignment of the words verifies each candidate pair. Classes
 are the connected components of the verified links.
 """
 
@@ -24,6 +24,8 @@ from .common import written
 K, ELL, ELEMENTS, SIMILAR = 5, 2, 24, 0.8
 #: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
 SMALL, AGAIN = 8, 3
+#: Buckets in which two nodes must meet. Texts that share half of their shingles have 6 elements in common on average.
+AGREE = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -208,9 +210,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[str, np.ndarray] = OrderedDict()
+        held: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
-        def hashes(node: str, text: str) -> np.ndarray:
+        def hashes(node: bytes, text: str) -> np.ndarray:
             if node not in held:
                 held[node] = word_hashes(text)
                 if len(held) > 64:
@@ -224,7 +226,7 @@ def _verify(least: float):
                 if s is not None:
                     for col, value in zip(kept, (a, b, s), strict=True):
                         col.append(value)
-            yield pa.record_batch({"a": pa.array(kept[0], pa.string()), "b": pa.array(kept[1], pa.string()), "similarity": pa.array(kept[2], pa.float64())})
+            yield pa.record_batch({"a": pa.array(kept[0], pa.binary()), "b": pa.array(kept[1], pa.binary()), "similarity": pa.array(kept[2], pa.float64())})
 
     return run
 
@@ -244,14 +246,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     met2 = written(again.join(sizes2, "k"), "omh-buckets2")
     pairs = [_all_pairs(small), _all_pairs(met2.where(F.col("n") <= SMALL)), _chained(met2.where(F.col("n") > SMALL))]
     out = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-    return out.groupBy("a", "b").agg(F.lit(1).alias("_")).drop("_")
+    return out.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= AGREE).drop("met")
 
 
 def _all_pairs(met: DataFrame) -> DataFrame:
     """Of buckets with SMALL nodes or fewer."""
-    grouped = met.groupBy("k").agg(F.array_sort(F.collect_set("node")).alias("g")).select("g").distinct()
-    left = grouped.select("g", F.posexplode("g").alias("p", "a"))
-    return left.select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"))
+    grouped = met.groupBy("k").agg(F.sort_array(F.collect_set("node")).alias("g")).groupBy("g").agg(F.count("*").alias("met"))
+    left = grouped.select("g", "met", F.posexplode("g").alias("p", "a"))
+    return left.select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"), "met")
 
 
 def _chained(met: DataFrame) -> DataFrame:
@@ -260,7 +262,7 @@ def _chained(met: DataFrame) -> DataFrame:
     # The order runs within sixteenths of a bucket, so that no task needs all of it.
     near = Window.partitionBy("k", F.substring("node", 1, 1)).orderBy("node")
     chain = met.select(F.col("node").alias("a"), F.lead("node").over(near).alias("b")).where("b IS NOT NULL AND a <> b")
-    return star.unionByName(chain)
+    return star.unionByName(chain).withColumn("met", F.lit(AGREE).cast("long"))
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -293,15 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result; columns beside the two named ones are ignored.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(t).alias("node"), t.alias("text"))
-    rows = written(base.mapInArrow(_sketches, "id long, node string, e array<bigint>"), "omh-sketches")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
+    rows = written(base.mapInArrow(_sketches, "id long, node binary, e array<bigint>"), "omh-sketches")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("e"))).alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.e", "copies"), "omh-nodes")
     pairs = written(candidates(nodes.where(F.size("e") > 0).select("node", "e")), "omh-pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.coalesce("id", F.lit(-1)).alias("rep")), "node")
     texts = base.withColumn("rep", F.coalesce("id", F.lit(-1))).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "omh-texts")
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a string, b string, similarity double"), "omh-links")
+    links = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, similarity double"), "omh-links")
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     member = written(nodes.select("node", "none", "id", "copies").join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-members")
@@ -318,6 +320,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """docs with one row of each class of near-duplicates; texts without words all stay but for repeated rows."""
     found = near_duplicates(docs, id_col, text_col, least).where("kept").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
-    mine = docs.withColumn("_n", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    mine = docs.withColumn("_n", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     out = mine.join(found, (F.col("_n") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
     return out.dropDuplicates([id_col, "_n"]).drop("_n")
