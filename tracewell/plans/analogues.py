@@ -1,6 +1,206 @@
-def queries():
-    return {}
+"""The operators applied to the driver's tables, each with SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars
+from ..operators import relational as rel
+
+_Q: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f):
+        _Q[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+        _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TOP = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders"
+
+
+@_query(f"SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS rank FROM (SELECT * FROM ({_TOP}) WHERE rn <= 3 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 15)")
+def recent_topk_cap(t) -> DataFrame:
+    newest = [F.desc("o_orderdate"), F.desc("o_orderkey")]
+    return rel.recent_files(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", newest).select("o_custkey", "o_orderkey", "rank")
+
+
+@_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_per_user(t) -> DataFrame:
+    return rel.latest_by(t("events"), "user_id", ["ts", "event_id"], ["event_type"]).select("user_id", "event_id", "event_type")
+
+
+@_query("SELECT min(v) AS start, count(*) AS count FROM (SELECT v, v - row_number() OVER (ORDER BY v) AS g FROM (SELECT DISTINCT l_orderkey AS v FROM lineitem)) GROUP BY g")
+def bad_range_islands(t) -> DataFrame:
+    return rel.islands(t("lineitem"), "l_orderkey", 1 << 12)
+
+
+@_query("WITH p AS (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_totalprice > 200000) SELECT k, o_orderkey, c_name FROM p LEFT JOIN customer ON c_custkey = k UNION ALL SELECT c_custkey, NULL, c_name FROM customer WHERE c_custkey NOT IN (SELECT k FROM p)")
+def users_profile_account(t) -> DataFrame:
+    profiles = t("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return rel.with_leftovers(profiles, t("customer").select(F.col("c_custkey").alias("k"), "c_name"), "k").select("k", "o_orderkey", "c_name")
+
+
+@_query("WITH s AS (SELECT doc_id, n_chars, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT - n_chars AS start FROM documents), p AS (SELECT o_orderkey, o_orderkey * 97 AS pos FROM orders) SELECT o_orderkey, doc_id, pos - start AS inside FROM p JOIN s ON pos >= start AND pos < start + n_chars")
+def offset_to_segment(t) -> DataFrame:
+    segments = rel.running_offset(t("documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+    points = t("orders").select("o_orderkey", (F.col("o_orderkey") * 97).alias("pos"))
+    return rel.locate(points, "pos", segments, "start", "n_chars").select("o_orderkey", "doc_id", (F.col("pos") - F.col("start")).alias("inside"))
+
+
+@_query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256 FROM documents")
+def row_hashes(t) -> DataFrame:
+    return t("documents").select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"), F.sha2("text", 256).alias("sha256"))
+
+
+@_query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'attention' ELSE 'clear' END AS verdict FROM events GROUP BY user_id")
+def verdict(t) -> DataFrame:
+    return t("events").groupBy("user_id").agg(F.when(F.bool_or(F.col("event_type") == "error"), "attention").otherwise("clear").alias("verdict"))
+
+
+@_query("WITH n AS (SELECT user_id, event_id, lag(event_id) OVER w AS e1, lag(value) OVER w AS v1, first(event_id) OVER r AS e0, first(value) OVER r AS v0, count(*) OVER r AS c, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id), r AS (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)) SELECT event_id, round((value - CASE WHEN c = 1 THEN v1 ELSE v0 END) / nullif(event_id - CASE WHEN c = 1 THEN e1 ELSE e0 END, 0), 6) AS rate FROM n")
+def trailing_window(t) -> DataFrame:
+    return rel.trailing_rate(t("events"), "user_id", "event_id", "value", 300).select("event_id", F.round("rate", 6).alias("rate"))
+
+
+@_query("SELECT page_id, url FROM pages WHERE NOT (lower(url) LIKE 'https://m.%' OR lower(url) LIKE '%#top' OR lower(url) LIKE '%ref=x')")
+def noise_filter(t) -> DataFrame:
+    return t("pages").where(~rel.is_noise(F.col("url"), ["about:blank"], ["https://m."], ["#top", "ref=x"])).select("page_id", "url")
+
+
+@_query("SELECT user_id, max(ts) AS last_login FROM events WHERE event_type = 'signup' AND user_id > 0 GROUP BY user_id")
+def last_login(t) -> DataFrame:
+    return t("events").where("event_type = 'signup' AND user_id > 0").groupBy("user_id").agg(F.max("ts").alias("last_login"))
+
+
+@_query("SELECT c_custkey, split_part(c_name, '#', 1) AS kind, CAST(split_part(c_name, '#', 2) AS BIGINT) AS number FROM customer WHERE regexp_full_match(split_part(c_name, '#', 2), '[0-9]+') AND CAST(split_part(c_name, '#', 2) AS BIGINT) BETWEEN 10 AND 1000")
+def login_line_parse(t) -> DataFrame:
+    p = t("customer").select("c_custkey", F.split_part("c_name", F.lit("#"), F.lit(1)).alias("kind"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("n"))
+    number = F.when(F.col("n").rlike("^[0-9]+$"), F.col("n").try_cast("long"))
+    return p.withColumn("number", number).where(F.col("number").between(10, 1000)).select("c_custkey", "kind", "number")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS flag FROM events")
+def smart_flags(t) -> DataFrame:
+    k = F.from_json("props", "k bigint")["k"]
+    return t("events").select("event_id", k.alias("k"), (k > 50).alias("flag"))
+
+
+@_query("SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'doctype' WHEN starts_with(html, '<html') THEN 'html' ELSE 'unknown' END AS kind FROM pages")
+def signature_case(t) -> DataFrame:
+    h = F.col("html")
+    return t("pages").select("page_id", F.when(h.startswith("<!DOCTYPE"), "doctype").when(h.startswith("<html"), "html").otherwise("unknown").alias("kind"))
+
+
+@_query("SELECT o_orderkey, greatest(0, least(o_custkey * 10, 5000 - o_orderkey)) AS size FROM orders")
+def partition_clamp(t) -> DataFrame:
+    return t("orders").select("o_orderkey", F.greatest(F.lit(0).cast("long"), F.least(F.col("o_custkey") * 10, F.lit(5000) - F.col("o_orderkey"))).alias("size"))
+
+
+@_query("SELECT DISTINCT (m * i // 511) // 16 * 16 AS pos FROM (SELECT max(l_orderkey) AS m FROM lineitem), (SELECT unnest(range(512)) AS i)")
+def sample_offsets(t) -> DataFrame:
+    last = t("lineitem").agg(F.max("l_orderkey").alias("m"))
+    i = last.select("m", F.explode(F.sequence(F.lit(0), F.lit(511))).alias("i"))
+    return i.select((F.floor(F.floor(F.col("m") * F.col("i") / 511) / 16) * 16).alias("pos")).distinct()
+
+
+@_query("SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(lead(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey), 1000000) AS ends FROM lineitem")
+def chunk_end_lead(t) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    return t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.coalesce(F.lead("l_orderkey").over(w), F.lit(1000000)).alias("ends"))
+
+
+@_query("SELECT user_id, arg_max(event_type, n * 100 + ascii(event_type)) AS stage FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+def bottleneck(t) -> DataFrame:
+    n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return n.groupBy("user_id").agg(F.max_by("event_type", F.col("n") * 100 + F.ascii("event_type")).alias("stage"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(l_discount, 0), 4) AS eta FROM lineitem")
+def eta_speed(t) -> DataFrame:
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.try_divide("l_extendedprice", "l_discount"), 4).alias("eta"))
+
+
+def _size_sql(base: int, places: int) -> str:
+    n = "(l_partkey * 123457)"
+    cases = " ".join(f"WHEN {n} < {base ** (k + 1)} THEN printf('%.{places}f {u}', {n} / {float(base**k)})" for k, u in ((1, "KB"), (2, "MB"), (3, "GB")))
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {n} < {base} THEN printf('%d B', {n}) {cases} ELSE printf('%.{places}f TB', {n} / {float(base**4)}) END AS size_text FROM lineitem"
+
+
+def _sized(t, base: int, places: int) -> DataFrame:
+    return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", scalars.size_text(F.col("l_partkey") * 123457, base, places).alias("size_text"))
+
+
+@_query(_size_sql(1000, 1))
+def bytes_fmt_1000(t) -> DataFrame:
+    return _sized(t, 1000, 1)
+
+
+@_query(_size_sql(1024, 2))
+def bytes_fmt_1024(t) -> DataFrame:
+    return _sized(t, 1024, 2)
+
+
+@_query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S UTC') AS at FROM events")
+def iso_ts(t) -> DataFrame:
+    return t("events").select("event_id", scalars.iso(F.col("ts")).alias("at"))
+
+
+@_query("SELECT DISTINCT l_orderkey, strftime(make_timestamp((l_orderkey * 1000000000000 // 10)::BIGINT), '%Y-%m-%d %H:%M:%S UTC') AS at FROM lineitem")
+def filetime_ts(t) -> DataFrame:
+    ft = F.col("l_orderkey") * 1000000000000 + scalars.FILETIME_EPOCH
+    return t("lineitem").select("l_orderkey").distinct().select("l_orderkey", scalars.iso(scalars.filetime(ft)).alias("at"))
+
+
+@_query("SELECT event_id, 'UTC' || CASE WHEN b > 0 THEN '-' ELSE '+' END || lpad((abs(b) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(b) % 60)::VARCHAR, 2, '0') AS zone FROM (SELECT event_id, event_id % 1440 - 720 AS b FROM events)")
+def utc_offset(t) -> DataFrame:
+    b = F.col("event_id") % 1440 - 720
+    return t("events").select("event_id", scalars.utc_offset(F.when(b < 0, b + (1 << 32)).otherwise(b)).alias("zone"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey BETWEEN 1 AND 99 THEN 'E' || lpad(p_partkey::VARCHAR, 2, '0') WHEN p_partkey BETWEEN 100 AND 14971 THEN chr((69 + (p_partkey - 100) // 676)::INT) || chr((65 + (p_partkey - 100) // 26 % 26)::INT) || chr((65 + (p_partkey - 100) % 26)::INT) END AS ext FROM part")
+def segment_ext(t) -> DataFrame:
+    return t("part").select("p_partkey", scalars.segment_extension(F.col("p_partkey")).alias("ext"))
+
+
+@_query("SELECT 'bad' AS level, event_id AS id, 0 AS seq FROM events WHERE event_type = 'error' UNION ALL SELECT 'info', doc_id, 1 FROM documents WHERE n_chars < 100 UNION ALL SELECT 'ok', page_id, 2 FROM pages")
+def findings_union(t) -> DataFrame:
+    row = lambda level, c: [F.lit(level).alias("level"), F.col(c).alias("id")]
+    return rel.findings([t("events").where("event_type = 'error'").select(*row("bad", "event_id")), t("documents").where("n_chars < 100").select(*row("info", "doc_id")), t("pages").select(*row("ok", "page_id"))])
+
+
+@_query("SELECT r_name AS name, r_regionkey AS disk, 'disk' AS kind FROM region UNION ALL SELECT n_name, n_regionkey, 'partition' FROM nation")
+def device_tree(t) -> DataFrame:
+    return t("region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("disk"), F.lit("disk").alias("kind")).unionByName(t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("disk"), F.lit("partition").alias("kind")))
+
+
+@_query("SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS types FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY user_id")
+def ordered_distinct_ips(t) -> DataFrame:
+    first = t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
+    return first.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]), ",").alias("types"))
+
+
+@_query("SELECT source, bool_and(md5(text) = md5(text)) AS matched, count(*) AS n FROM documents GROUP BY source")
+def hash_verify(t) -> DataFrame:
+    recorded = t("documents").select("doc_id", "source", F.md5("text").alias("recorded"))
+    again = t("documents").select("doc_id", F.md5("text").alias("found"))
+    return recorded.join(again, "doc_id").groupBy("source").agg(F.bool_and(F.col("recorded") == F.col("found")).alias("matched"), F.count("*").alias("n"))
+
+
+def queries() -> dict:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def run(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    return _Q[name](spark, sf_dir)
