@@ -46,8 +46,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_UP) <= n:
         size = max(n + 1, 2 * len(_UP))
         with np.errstate(over="ignore"):
-            _UP = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _DOWN = np.cumprod(np.concatenate([[1], np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            _UP, _DOWN = (np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+            _UP[0] = _DOWN[0] = 1
+            _UP, _DOWN = np.cumprod(_UP, dtype=np.uint64), np.cumprod(_DOWN, dtype=np.uint64)
     return _UP, _DOWN
 
 
@@ -128,7 +129,7 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
 def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The edit distance of two word sequences if it is most or less, else None.
 
-    Dynamic programming in a band around the diagonal; the band doubles until the distance fits into it.
+    Only diagonals of a band are filled that edits up to most can reach; the ends that are equal are left out.
     """
     if abs(len(a) - len(b)) > most:
         return None
@@ -144,43 +145,41 @@ def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if not len(a) or not len(b):
         d = max(len(a), len(b))
         return d if d <= most else None
-    band = max(abs(len(a) - len(b)), 8)
-    while True:
-        band = min(band, most)
-        d = _banded(a, b, band)
-        if d <= band:
-            return d
-        if band >= most:
-            return None
-        band *= 2
-
-
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The edit distance if it is band or less, else a number above band."""
+    return _furthest(a, b, most)
+
+
+def _furthest(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The edit distance if it is most or less: for every number of edits, how far each diagonal of the band gets.
+
+    The band is as wide as the edits so far allow, so near copies cost little more than their length. A
+    diagonal's mismatches are found once, when it is first reached.
+    """
     n, m = len(a), len(b)
-    width = 2 * band + 1
-    big = n + m + 1
-    # Cell k of row i is column i + k - band.
-    steps = np.arange(width)
-    padded = np.concatenate([np.zeros(band, np.uint64), b, np.zeros(band + n + 1, np.uint64)])
-    row = np.where(steps >= band, steps - band, big).astype(np.int32)
-    row[steps - band > m] = big
-    s32 = steps.astype(np.int32)
-    for i in range(1, n + 1):
-        new = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
-        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
-        low, high = band - i, band + m - i  # column 0 and column m
-        if low >= 0:
-            new[:low] = big
-            new[low] = i
-        if high + 1 < width:
-            new[max(high + 1, 0) :] = big
-        new = np.minimum.accumulate(new - s32) + s32
-        row = new
-        if not i & 63 and row.min() > band:
-            return band + 1
-    k = m - n + band
-    return int(row[k]) if 0 <= k < width else band + 1
+    goal = m - n
+    stops: dict[int, np.ndarray] = {}
+    before: dict[int, int] = {}
+    for e in range(most + 1):
+        now: dict[int, int] = {}
+        slack = most - e
+        for k in range(max(-e, -n, goal - slack), min(e, m, goal + slack) + 1):
+            if e:
+                i = max(before.get(k, -2) + 1, before.get(k - 1, -2), before.get(k + 1, -2) + 1)
+                if i < 0:
+                    continue
+            else:
+                i = 0
+            end = min(n, m - k)
+            i = min(max(i, -k), end)
+            at = stops.get(k)
+            if at is None:
+                low = max(0, -k)
+                at = stops[k] = np.append(np.flatnonzero(a[low:end] != b[low + k : end + k]) + low, end)
+            i = int(at[at.searchsorted(i)])
+            now[k] = i
+            if k == goal and i >= n:
+                return e
+        before = now
+    return None
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | None:
@@ -268,20 +267,26 @@ def _chained(met: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges: a, b -> node, class (the smallest node that is linked with it), for all nodes of edges.
 
-    Every round, nodes take the smallest label of a neighbour and then the label of their label. Labels are written
-    out each round; only a count goes to the driver.
+    Every round, nodes point to their smallest neighbour and follow the pointers, in doubling steps, to one that points to
+    itself; the graph is contracted to these, so each round leaves at most half of the nodes that have links. Only counts go
+    to the driver.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("class")).select(F.col("a").alias("node"), "class"), "labels")
+    left = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = written(left.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("class")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("class").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        step = labels.join(near, "node").select("node", F.least("class", "c").alias("class"), F.col("class").alias("old"))
-        up = labels.select(F.col("node").alias("class"), F.col("class").alias("top"))
-        new = written(step.join(up, "class", "left").select("node", F.least("class", F.coalesce("top", "class")).alias("class"), "old"), "labels")
-        changed = new.where("class <> old").limit(1).count()
-        labels = new.drop("old")
-        if not changed:
+        if not left.limit(1).count():
+            # Labels are smallest nodes of their parts already, as each step goes to a smaller neighbour.
             return labels
+        near = written(left.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")), "labels")
+        step, moving = near, True
+        while moving:
+            over = step.select(F.col("a").alias("to"), F.col("to").alias("top"))
+            nxt = written(step.join(over, "to").select("a", F.col("top").alias("to"), (F.col("top") != F.col("to")).alias("moved")), "labels")
+            step, moving = nxt.drop("moved"), nxt.where("moved").limit(1).count() > 0
+        of = lambda name: step.select(F.col("a").alias(name), F.col("to").alias(f"{name}2"))  # noqa: B023, E731
+        labels = written(labels.join(of("class"), "class", "left").select("node", F.coalesce("class2", "class").alias("class")), "labels")
+        moved = left.join(of("a"), "a").join(of("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
+        left = written(moved.distinct(), "links")
     raise RuntimeError(f"classes did not settle in {rounds} rounds")
 
 
