@@ -78,6 +78,23 @@ def is_noise(name: Column, names: Sequence[str], prefixes: Sequence[str], suffix
     return out
 
 
+def key_values(df: DataFrame, key: str, text: str, between: str) -> DataFrame:
+    """key, name, value of the name=value pairs in a text; of pairs with equal names the last one counts."""
+    pairs = df.select(key, F.posexplode(F.split(text, between)).alias("_k", "_pair")).where(F.instr("_pair", "=") > 1)
+    at = F.instr("_pair", "=")
+    named = pairs.select(key, "_k", F.substring("_pair", F.lit(1), at - 1).alias("name"), F.substring("_pair", at + 1, F.length("_pair")).alias("value"))
+    return named.groupBy(key, "name").agg(F.max_by("value", "_k").alias("value"))
+
+
+def dirs_first(df: DataFrame, name: str, kind: str, folder: Sequence[str] = ()) -> DataFrame:
+    """The rows of each listing with their rank: folders first, then by name without regard to case.
+
+    Without folder columns all rows are one listing, which one task ranks: for listings, not for whole tables.
+    """
+    w = Window.partitionBy(*folder).orderBy(F.col(kind) != "dir", F.lower(name), name)
+    return df.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 def findings(parts: Sequence[DataFrame]) -> DataFrame:
     """The parts one after another, with their number as seq."""
     out = None

@@ -194,6 +194,30 @@ def hash_verify(t) -> DataFrame:
     return recorded.join(again, "doc_id").groupBy("source").agg(F.bool_and(F.col("recorded") == F.col("found")).alias("matched"), F.count("*").alias("n"))
 
 
+@_query("SELECT page_id, split_part(url, '/', 4) AS folder FROM pages WHERE lower(split_part(url, '/', 4)) IN ('en', 'de') AND split_part(url, '/', 5) <> ''")
+def user_path_filter(t) -> DataFrame:
+    part = lambda k: F.split_part("url", F.lit("/"), F.lit(k))
+    return t("pages").where(F.lower(part(4)).isin("en", "de") & (part(5) != "")).select("page_id", part(4).alias("folder"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 'service' WHEN starts_with(c_mktsegment, 'B') THEN 'builtin' ELSE 'person' END AS class FROM customer")
+def account_class(t) -> DataFrame:
+    m = F.col("c_mktsegment")
+    return t("customer").select("c_custkey", F.when(m.isin("MACHINERY", "AUTOMOBILE"), "service").when(m.startswith("B"), "builtin").otherwise("person").alias("class"))
+
+
+@_query("WITH q AS (SELECT page_id, string_split(split_part(split_part(url, '#', 1), '?', 2), '&') AS p FROM pages), i AS (SELECT page_id, p, unnest(range(len(p))) AS k FROM q), e AS (SELECT page_id, k, p[k + 1] AS pair FROM i) SELECT page_id, split_part(pair, '=', 1) AS name, arg_max(substr(pair, strpos(pair, '=') + 1), k) AS value FROM e WHERE strpos(pair, '=') > 1 GROUP BY ALL")
+def kv_parse(t) -> DataFrame:
+    query = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
+    return rel.key_values(t("pages").select("page_id", query.alias("query")), "page_id", "query", "&").select("page_id", "name", "value")
+
+
+@_query("SELECT name, kind, row_number() OVER (ORDER BY kind <> 'dir', lower(name), name) AS rank FROM (SELECT r_name AS name, 'dir' AS kind FROM region UNION ALL SELECT n_name, 'file' FROM nation)")
+def dirs_first_sort(t) -> DataFrame:
+    rows = t("region").select(F.col("r_name").alias("name"), F.lit("dir").alias("kind")).unionByName(t("nation").select(F.col("n_name").alias("name"), F.lit("file").alias("kind")))
+    return rel.dirs_first(rows, "name", "kind")
+
+
 def queries() -> dict:
     return dict(_Q)
 
