@@ -4,8 +4,8 @@ A text's k-mers are shingles of five words, each labelled with its occurrence nu
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
 with a probability that follows edit similarity. Equal contents are one node. Nodes that share an element are candidates:
 small buckets give all their pairs, larger ones are dealt out again by pairs of elements, and what is large even then is
-linked to its first node and along its order. Pairs that meet in too few small buckets are let go. Banded alignment of the words verifies each candidate pair. Classes
-are the connected components of the verified links.
+linked to its first node and along its order. Banded alignment of the words verifies every candidate pair. Classes are the
+connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from .common import written
 K, ELL, ELEMENTS, SIMILAR = 5, 2, 24, 0.8
 #: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
 SMALL, AGAIN = 8, 3
-#: Buckets in which two nodes must meet. Texts that share half of their shingles have 6 elements in common on average.
-AGREE = 3
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -244,15 +242,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     sizes2 = again.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     met2 = written(again.join(sizes2, "k"), "omh-buckets2")
     pairs = [_all_pairs(small), _all_pairs(met2.where(F.col("n") <= SMALL)), _chained(met2.where(F.col("n") > SMALL))]
-    out = pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
-    return out.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= AGREE).drop("met")
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
 
 
 def _all_pairs(met: DataFrame) -> DataFrame:
     """Of buckets with SMALL nodes or fewer."""
-    grouped = met.groupBy("k").agg(F.sort_array(F.collect_set("node")).alias("g")).groupBy("g").agg(F.count("*").alias("met"))
-    left = grouped.select("g", "met", F.posexplode("g").alias("p", "a"))
-    return left.select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"), "met")
+    grouped = met.groupBy("k").agg(F.sort_array(F.collect_set("node")).alias("g")).select("g").distinct()
+    left = grouped.select("g", F.posexplode("g").alias("p", "a"))
+    return left.select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"))
 
 
 def _chained(met: DataFrame) -> DataFrame:
@@ -261,7 +258,7 @@ def _chained(met: DataFrame) -> DataFrame:
     # The order runs within sixteenths of a bucket, so that no task needs all of it.
     near = Window.partitionBy("k", F.substring("node", 1, 1)).orderBy("node")
     chain = met.select(F.col("node").alias("a"), F.lead("node").over(near).alias("b")).where("b IS NOT NULL AND a <> b")
-    return star.unionByName(chain).withColumn("met", F.lit(AGREE).cast("long"))
+    return star.unionByName(chain)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
