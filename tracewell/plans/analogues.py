@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..operators import paths
 from ..operators import relational as rel
 
 _Q: dict = {}
@@ -218,6 +219,12 @@ def dirs_first_sort(t) -> DataFrame:
     return rel.dirs_first(rows, "name", "kind")
 
 
+@_query("WITH RECURSIVE p AS (SELECT conv_id, turn, role AS path FROM conversations WHERE turn = 0 UNION ALL SELECT c.conv_id, c.turn, p.path || '/' || c.role FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn + 1 WHERE c.turn < 64) SELECT conv_id, turn, path FROM p")
+def path_recursive(t) -> DataFrame:
+    turns = t("conversations").select("conv_id", "turn", "role", F.when(F.col("turn") > 0, F.col("turn") - 1).alias("before"), F.when(F.col("turn") > 0, F.col("conv_id")).alias("same"))
+    return paths.resolve(turns, ["conv_id", "turn"], ["same", "before"], "role")
+
+
 def queries() -> dict:
     return dict(_Q)
 
