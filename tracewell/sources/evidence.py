@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import hives, images
+from . import hives, images, mft
 
 #: Partition types that hold further partitions.
 EXTENDED = (0x05, 0x0F, 0x85)
@@ -162,16 +162,50 @@ RELATIONS: dict[str, tuple[str, Callable[[str], Iterator[tuple]], bool]] = {
 }
 
 
+#: What a damaged image raises; each becomes a row.
+_ERRORS = (OSError, struct.error, ValueError, images.BadImage, hives.BadHive, images.zlib.error)
+
+
 class _Part(InputPartition):
     def __init__(self, image: str, segment: int, path: str, chunk_size: int = 0) -> None:
         self.image, self.segment, self.path, self.chunk_size = image, segment, path, chunk_size
 
 
+class _Records(InputPartition):
+    """A range of records of one volume's file table, or why there is none."""
+
+    def __init__(self, image: str, volume: int, table: mft.Table | None, first: int = 0, last: int = 0, error: str | None = None) -> None:
+        self.image, self.volume, self.table, self.first, self.last, self.error = image, volume, table, first, last, error
+
+
+def _ranges(path: str) -> Iterator[_Records]:
+    """Ranges of records of all NTFS volumes of an image."""
+    try:
+        found = [(r[1], r[4]) for r in _partitions(path) if r[9][3:11] == b"NTFS    "]
+        image = images.open_image(path) if found else None
+    except _ERRORS as e:
+        yield _Records(path, 0, None, error=f"{type(e).__name__}: {e}")
+        return
+    for volume, offset in found:
+        try:
+            t = mft.table(image, offset)
+        except _ERRORS as e:
+            yield _Records(path, volume, None, error=f"{type(e).__name__}: {e}")
+            continue
+        for k in range(0, t.count, mft.PER_PARTITION):
+            yield _Records(path, volume, t, k, min(k + mft.PER_PARTITION, t.count))
+    if image:
+        image.close()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.relation, self.paths = options["relation"], json.loads(options["paths"])
 
-    def partitions(self) -> list[_Part]:
+    def partitions(self) -> list[InputPartition]:
+        if self.relation == "mft":
+            # Spark wants a partition at least.
+            return [r for p in self.paths for r in _ranges(p)] or [_Records("", 0, None)]
         if self.relation == "chunks":
             return [_Part(p, k, s, self._chunk_size(p)) for p in self.paths for k, s in enumerate(images.segments(p))]
         if RELATIONS[self.relation][2]:
@@ -192,7 +226,17 @@ class _Reader(DataSourceReader):
         finally:
             os.close(fd)
 
-    def read(self, part: _Part) -> Iterator:
+    def read(self, part) -> Iterator:
+        if self.relation == "mft":
+            if part.error:
+                yield part.image, part.volume, None, None, None, None, None, None, part.error
+            elif part.table:
+                image = images.open_image(part.image)
+                try:
+                    yield from mft.scan(image, part.image, part.volume, part.table, part.first, part.last)
+                finally:
+                    image.close()
+            return
         if self.relation == "chunks":
             if part.chunk_size:
                 yield from _chunks(part.image, part.segment, part.path, part.chunk_size)
@@ -204,7 +248,7 @@ class _Reader(DataSourceReader):
         try:
             for r in rows(part.path):
                 yield key + r
-        except (OSError, struct.error, ValueError, images.BadImage, hives.BadHive, images.zlib.error) as e:
+        except _ERRORS as e:
             n = len(EvidenceSource.split(columns))
             yield (*key, *[None] * (n - 1), f"{type(e).__name__}: {e}")
 
@@ -219,6 +263,8 @@ class EvidenceSource(DataSource):
         return columns.split(", ")
 
     def schema(self) -> str:
+        if self.options["relation"] == "mft":
+            return mft.COLUMNS
         if self.options["relation"] == "chunks":
             return _CHUNKS
         columns, _, of_segments = RELATIONS[self.options["relation"]]
