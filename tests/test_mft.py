@@ -93,3 +93,10 @@ def test_scan(spark, tmp_path, monkeypatch):
     t = mft.table(image, 0)
     monkeypatch.setattr(mft, "PER_BATCH", 3)
     assert [n for b in mft.scan(image, good, 1, t, 0, t.count) for n in b.column("number").to_pylist()] == [0, 1, 2, 8, 10]
+
+
+def test_file_paths(spark):
+    rows = [(5, 3, 5, "."), (6, 3, 5, "Users"), (7, 3, 6, "alice"), (8, 1, 7, "a.txt"), (9, 1, 5, "b"), (10, 1, 99, "orphan"), (11, 3, 12, "x"), (12, 3, 11, "y"), (13, 1, 11, "in a cycle")]
+    table = spark.createDataFrame([("i", 1, *r, 0, 0, None) for r in rows], mft.COLUMNS)
+    got = {r.number: r.path for r in evidence.file_paths(table).collect()}
+    assert got == {8: "\\Users\\alice\\a.txt", 9: "\\b"}

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import paths
 from ..sources import images
 from ..sources.evidence import EvidenceSource
 
@@ -156,3 +157,15 @@ def last_logins(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def registry_value(values: DataFrame, key_path: str, name: str) -> DataFrame:
     """The value of that name in that key of each hive; letters' case doesn't count."""
     return values.where((F.lower("key_path") == key_path.lower()) & (F.lower("name") == name.lower()))
+
+
+def file_paths(mft: DataFrame, sep: str = "\\") -> DataFrame:
+    """Records of files with path, from the volume's root (record 5); files in folders that don't lead there are left out."""
+    key = ["image", "volume", "number"]
+    folders = mft.where("error IS NULL AND flags & 2 > 0")
+    top = F.col("number") == 5
+    here = [F.when(~top, F.col(c)).alias(a) for c, a in (("image", "_i"), ("volume", "_v"), ("parent", "_p"))]
+    tree = folders.select(*key, *here, F.when(top, "").otherwise(F.col("name")).alias("name"))
+    found = paths.resolve(tree, key, ["_i", "_v", "_p"], "name", sep).withColumnsRenamed({"number": "parent", "path": "_folder"})
+    files = mft.where("error IS NULL AND flags & 2 = 0").join(found, ["image", "volume", "parent"])
+    return files.withColumn("path", F.concat("_folder", F.lit(sep), "name")).drop("_folder", "error")

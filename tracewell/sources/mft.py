@@ -14,7 +14,8 @@ PER_PARTITION, PER_BATCH = 1 << 18, 4096
 #: Bits of a reference that are a record's number.
 NUMBER = np.uint64((1 << 48) - 1)
 #: Order of preference of a name's namespaces: Win32, with or without DOS, then POSIX, then DOS alone.
-PREFERENCE = {1: 0, 3: 0, 0: 1, 2: 2}
+PREFERENCE = np.full(256, 3)
+PREFERENCE[[1, 3, 0, 2]] = 0, 0, 1, 2
 COLUMNS = "image string, volume int, number long, flags int, parent long, name string, modified_ft long, size long, error string"
 
 
@@ -87,8 +88,9 @@ def _number(m: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int, broken:
     """Little-endian numbers at a place in each of the rows; rows are broken that end before."""
     cols = at.astype(np.int64)[:, None] + np.arange(width)
     broken[rows[cols[:, -1] >= m.shape[1]]] = True
-    v = m[rows[:, None], np.minimum(cols, m.shape[1] - 1)].astype(np.uint64)
-    return (v << (np.uint64(8) * np.arange(width, dtype=np.uint64))).sum(1, dtype=np.uint64)
+    v = np.zeros((len(rows), 8), np.uint8)
+    v[:, :width] = m[rows[:, None], np.minimum(cols, m.shape[1] - 1)]
+    return v.view("<u8")[:, 0]
 
 
 def mended(m: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def decoded(m: np.ndarray, first: int) -> dict[str, list]:
         modified[q] = _number(m, q, p + _number(m, q, p + 20, 2, broken).astype(np.int64) + 8, 8, broken)
         q, p = here(going & (kind == 0x30) & (apart == 0))
         p = p + _number(m, q, p + 20, 2, broken).astype(np.int64)
-        mine = np.array([PREFERENCE.get(int(x), 3) for x in _number(m, q, p + 65, 1, broken)], np.int64)
+        mine = PREFERENCE[_number(m, q, p + 65, 1, broken).astype(np.int64)]
         q, p, mine = (x[mine < rank[q]] for x in (q, p, mine))
         rank[q], name_at[q] = mine, p
         parent[q] = _number(m, q, p, 8, broken) & NUMBER
