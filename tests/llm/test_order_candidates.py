@@ -2,7 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,50 @@ def test_one_common_element_is_enough(spark):
     assert max(sum(r[1][j] == e for r in rows) for j in (0, 1) for e in range(12)) <= order_minhash.SMALL
     got = order_minhash.candidates(spark.createDataFrame(rows, "node binary, e array<bigint>")).collect()
     assert len(got) == len(want) and {(bytes(r.a), bytes(r.b)) for r in got} == want
+
+
+def test_large_buckets_give_the_classes_of_all_their_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, texts = [word() for _ in range(70)], []
+    for _ in range(110):
+        # Beside the passage, variants of a tail have no shingle in common.
+        tail = [word() for _ in range(30)]
+        texts += [passage + [word() if k % 3 == v else w for k, w in enumerate(tail)] for v in range(3)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    hashes = [order_minhash.word_hashes(t) for _, t in rows]
+    sketches = [order_minhash.sketch(w) for w in hashes]
+    own = list(range(len(rows)))
+
+    def root(x):
+        while own[x] != x:
+            x = own[x]
+        return x
+
+    sizes, lost = Counter((j, e) for s in sketches for j, e in enumerate(s.tolist())), 0
+    for x, y in itertools.combinations(range(len(rows)), 2):
+        at = np.flatnonzero(sketches[x][: order_minhash.ELEMENTS] == sketches[y][: order_minhash.ELEMENTS])
+        if len(at) and order_minhash.similar(hashes[x], hashes[y]) is not None:
+            lost += all(sizes[j, sketches[x][j]] > order_minhash.SMALL for j in at.tolist())
+            own[max(root(x), root(y))] = min(root(x), root(y))
+    assert max(sizes.values()) > order_minhash.BLOCK and lost
+    got = order_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: r.class_id for r in got} == {k: root(k) for k in range(len(rows))}
+
+
+def test_alignment_by_columns():
+    rng = np.random.default_rng(2)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(2, 12), rng.integers(1, 80)).astype(np.uint64) for _ in range(2))
+        most, d = int(rng.integers(0, 80)), distance(a.tolist(), b.tolist())
+        assert order_minhash._columns(a, b, most) == (d if d <= most else None)

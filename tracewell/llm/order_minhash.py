@@ -3,9 +3,10 @@
 A text's k-mers are shingles of five words, each labelled with its occurrence number. For every hash function the
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
 with a probability that follows edit similarity. Equal contents are one node. Nodes that share an element are candidates:
-small buckets give all their pairs, larger ones are dealt out again by pairs of elements, and what is large even then is
-linked to its first node and along its order. Banded alignment of the words verifies every candidate pair. Classes are the
-connected components of the verified links.
+small buckets give all their pairs. Larger ones first give some: they are dealt out again by pairs of elements, and what is
+large even then is linked to its first node and along its order. Then all pairs of a large bucket are compared, block by
+block, that these links left in different classes. Counts of words rule out most of them; banded alignment of the words
+verifies the others. Classes are the connected components of the verified links, as if every pair of every bucket were aligned.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import written
 K, ELL, ELEMENTS, SIMILAR = 5, 2, 24, 0.8
 #: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
 SMALL, AGAIN = 8, 3
+#: Nodes in a block of a large bucket; counters of a text's words; edits that are looked for diagonal by diagonal.
+BLOCK, BINS, FEW = 256, 128, 12
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -143,7 +146,32 @@ def aligned_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if not len(a) or not len(b):
         d = max(len(a), len(b))
         return d if d <= most else None
-    return _furthest(a, b, most)
+    d = _furthest(a, b, min(most, FEW))
+    return d if d is not None or most <= FEW else _columns(a, b, most)
+
+
+def _columns(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """The edit distance if it is most or less, by columns of the alignment, each two numbers of a bit for each word of a.
+
+    Faster than _furthest() unless edits are few.
+    """
+    at: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << i
+    full, last, d = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for left, w in enumerate(b.tolist(), 1 - len(b)):
+        same = at.get(w, 0)
+        x = ((same & up) + up ^ up) | same | down
+        more, less = down | full & ~(x | up), up & x
+        d += 1 if more & last else -1 if less & last else 0
+        # Each further column takes away one at most.
+        if d + left > most:
+            return None
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        same |= down
+        up, down = less | full & ~(same | more), more & same
+    return d if d <= most else None
 
 
 def _furthest(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -197,12 +225,20 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
     return None if d is None else 1 - d / top
 
 
+def word_counts(w: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BINS counters, 255 at most."""
+    return np.minimum(np.bincount((w >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [sketch(word_hashes(t)).view(np.int64) for t in batch.column("text").to_pylist()]
+        hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
+        out = [sketch(w).view(np.int64) for w in hashes]
         sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
         values = np.concatenate(out) if out else np.empty(0, np.int64)
-        yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int64()))})
+        e = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int64()))
+        n = pa.array([len(w) for w in hashes], pa.int32())
+        yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": e, "words": n, "counts": pa.array([word_counts(w).tobytes() for w in hashes], pa.binary())})
 
 
 def _verify(least: float):
@@ -228,11 +264,16 @@ def _verify(least: float):
     return run
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """nodes: node, e (sketch) -> a, b: pairs of nodes, a < b, without repeats."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """nodes: node, e (sketch) -> k, node, j, n (nodes in the bucket), first (the smallest), for buckets of two nodes or more."""
     keys = nodes.select("node", F.posexplode("e").alias("j", "k")).select("node", "j", F.xxhash64("j", "k").alias("k"))
     sizes = keys.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    met = written(keys.join(sizes, "k"), "omh-buckets")
+    return written(keys.join(sizes, "k"), "omh-buckets")
+
+
+def candidates(nodes: DataFrame, met: DataFrame | None = None) -> DataFrame:
+    """nodes: node, e (sketch) -> a, b: pairs of nodes, a < b, without repeats: all of small buckets, some of large ones."""
+    met = buckets(nodes) if met is None else met
     small = met.where(F.col("n") <= SMALL)
     large = met.where(F.col("n") > SMALL).select("node", "j", "k")
     # In a large bucket, nodes meet again if a further element agrees.
@@ -261,6 +302,49 @@ def _chained(met: DataFrame) -> DataFrame:
     return star.unionByName(chain)
 
 
+def across(met: DataFrame, classes: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """met: buckets; classes: node, class; nodes: node, words, counts -> a, b: pairs of large buckets, a < b, without repeats.
+
+    All pairs of nodes in different classes that their numbers and counts of words allow. A bucket is dealt out to pairs of
+    blocks of about BLOCK nodes, so no task needs all of it.
+    """
+    own = nodes.select("node", "words", "counts").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    rows = met.where(F.col("n") > SMALL).select("k", "node", "n").join(own, "node")
+    mixed = rows.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("k")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    rows = rows.join(mixed, "k").withColumn("p", F.pmod(F.xxhash64("node"), blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    item = F.struct("node", "class", "words", "counts", "p")
+    dealt = rows.groupBy("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.collect_list(item).alias("g"))
+    return dealt.select("i", "j", "g").mapInArrow(_allowed(least), "a binary, b binary").distinct()
+
+
+def _allowed(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, g in zip(*(batch.column(c) for c in ("i", "j", "g")), strict=True):
+                x = g.values
+                name = x.field("node").to_pylist()
+                _, of = np.unique(np.array([c.hex() for c in x.field("class").to_pylist()]), return_inverse=True)
+                words, block = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "p"))
+                counts = np.frombuffer(b"".join(x.field("counts").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                left, right = np.flatnonzero(block == i.as_py()), np.flatnonzero(block == j.as_py())
+                a, b = [], []
+                for at in left:
+                    to = right[right > at] if i.as_py() == j.as_py() else right
+                    top = np.maximum(words[to], words[at])
+                    # An edit changes counts and length together by two at most.
+                    room = 2 * (top * (1 - least) + 1e-9).astype(np.int64) - np.abs(words[to] - words[at])
+                    ok = (of[to] != of[at]) & (room >= 0)
+                    to, room = to[ok], room[ok]
+                    for b_at in to[np.abs(counts[to] - counts[at]).sum(1) <= room]:
+                        low, high = sorted((name[at], name[b_at]))
+                        a.append(low)
+                        b.append(high)
+                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """edges: a, b -> node, class (the smallest node that is linked with it), for all nodes of edges.
 
@@ -287,26 +371,38 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"classes did not settle in {rounds} rounds")
 
 
+def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs that alignment verifies: a, b, similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.coalesce("id", F.lit(-1)).alias("rep")), "node")
+    texts = base.withColumn("rep", F.coalesce("id", F.lit(-1))).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    texts = written(texts, "omh-texts")
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    return written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, similarity double"), "omh-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row per row of docs: id, node (MD5 of the text), class_id, class_size, n_links, kept.
 
     class_id is the smallest identifier of the texts linked with it, over copies and verified links; n_links
-    counts the different texts that a text was verified against. kept is true for one row of each class: the smallest
+    counts the different texts that a text was verified against; in buckets of over SMALL texts not all pairs within a
+    class are. kept is true for one row of each class: the smallest
     identifier's. Texts without words are equal to nothing but exact copies of themselves. Null texts count as empty,
     null identifiers as larger than any other, and of rows equal in identifier and text one is kept. An empty table gives an
     empty result; columns beside the two named ones are ignored.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
-    rows = written(base.mapInArrow(_sketches, "id long, node binary, e array<bigint>"), "omh-sketches")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("e"))).alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.e", "copies"), "omh-nodes")
-    pairs = written(candidates(nodes.where(F.size("e") > 0).select("node", "e")), "omh-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.coalesce("id", F.lit(-1)).alias("rep")), "node")
-    texts = base.withColumn("rep", F.coalesce("id", F.lit(-1))).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "omh-texts")
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    links = written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, similarity double"), "omh-links")
+    rows = written(base.mapInArrow(_sketches, "id long, node binary, e array<bigint>, words int, counts binary"), "omh-sketches")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("e"), F.col("words"), F.col("counts"))).alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.e", "m.words", "m.counts", "copies"), "omh-nodes")
+    searched = nodes.where(F.size("e") > 0)
+    met = buckets(searched.select("node", "e"))
+    pairs = written(candidates(searched.select("node", "e"), met), "omh-pairs")
+    links = _links(base, nodes, pairs, least)
     classes = components(links)
+    more = written(across(met, classes, searched, least).join(pairs, ["a", "b"], "left_anti"), "omh-pairs")
+    if more.limit(1).count():
+        links = links.unionByName(_links(base, nodes, more, least))
+        classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     member = written(nodes.select("node", "none", "id", "copies").join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-members")
     tops = member.groupBy("class").agg(F.min(F.struct("none", "id", "node")).alias("m"), F.sum("copies").alias("class_size"))
