@@ -72,3 +72,12 @@ def test_alignment_by_columns():
         a, b = (rng.integers(0, rng.integers(2, 12), rng.integers(1, 80)).astype(np.uint64) for _ in range(2))
         most, d = int(rng.integers(0, 80)), distance(a.tolist(), b.tolist())
         assert order_minhash._columns(a, b, most) == (d if d <= most else None)
+
+
+@pytest.mark.parametrize("n", [9, 50, 3500])
+def test_chain_links_a_whole_bucket(spark, n):
+    rng = random.Random(n)
+    names = sorted(rng.randbytes(16) for _ in range(n))
+    met = spark.createDataFrame([(1, x, n, names[0]) for x in names], "k long, node binary, n long, first binary")
+    got = {(bytes(r.a), bytes(r.b)) for r in order_minhash._chained(met).collect()}
+    assert got == set(itertools.pairwise(names)) | {(names[0], x) for x in names[1:]}

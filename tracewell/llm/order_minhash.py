@@ -25,6 +25,8 @@ from .common import written
 K, ELL, ELEMENTS, SIMILAR = 5, 2, 24, 0.8
 #: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
 SMALL, AGAIN = 8, 3
+#: Nodes in a range of a large bucket's chain.
+RANGE = 1000
 #: Nodes in a block of a large bucket; counters of a text's words; edits that are looked for diagonal by diagonal.
 BLOCK, BINS, FEW = 256, 128, 12
 
@@ -294,12 +296,16 @@ def _all_pairs(met: DataFrame) -> DataFrame:
 
 
 def _chained(met: DataFrame) -> DataFrame:
-    """Each node of a large bucket with the bucket's first node, and with the next one among those that share a part of the hashes' range."""
+    """Each node of a large bucket with the bucket's first node, and with the next one in the order of nodes."""
     star = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    # The order runs within sixteenths of a bucket, so that no task needs all of it.
-    near = Window.partitionBy("k", F.substring("node", 1, 1)).orderBy("node")
-    chain = met.select(F.col("node").alias("a"), F.lead("node").over(near).alias("b")).where("b IS NOT NULL AND a <> b")
-    return star.unionByName(chain)
+    # The order runs within ranges of about RANGE nodes, so that no task needs all of a bucket; then the ranges' ends are linked.
+    start = F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long")
+    parts = met.select("k", "node", F.floor(start * F.ceil(F.col("n") / RANGE) / F.lit(1 << 32)).alias("part"))
+    near = Window.partitionBy("k", "part").orderBy("node")
+    within = parts.select(F.col("node").alias("a"), F.lead("node").over(near).alias("b"))
+    ends = parts.groupBy("k", "part").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    between = ends.select(F.col("high").alias("a"), F.lead("low").over(Window.partitionBy("k").orderBy("part")).alias("b"))
+    return star.unionByName(within.unionByName(between).where("b IS NOT NULL AND a <> b"))
 
 
 def across(met: DataFrame, classes: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
