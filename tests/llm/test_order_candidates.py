@@ -81,3 +81,46 @@ def test_chain_links_a_whole_bucket(spark, n):
     met = spark.createDataFrame([(1, x, n, names[0]) for x in names], "k long, node binary, n long, first binary")
     got = {(bytes(r.a), bytes(r.b)) for r in order_minhash._chained(met).collect()}
     assert got == set(itertools.pairwise(names)) | {(names[0], x) for x in names[1:]}
+
+
+def _edited(rng, w, n, kinds):
+    w = list(w)
+    for _ in range(n):
+        at, kind = rng.randrange(len(w)), rng.choice(kinds)
+        w[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.randrange(1 << 60)]
+    return np.array(w, np.uint64)
+
+
+def _met(a, b):
+    x, y = order_minhash.sketch(a), order_minhash.sketch(b)
+    n = order_minhash.ELEMENTS
+    return bool((x[:n] == y[:n]).any() or np.intersect1d(x[n:], y[n:]).size)
+
+
+def recall(edits, pairs=300, words=150):
+    """Share of pairs of the similarity that substitutions leave at random places which share an element."""
+    rng = random.Random(edits)
+    found = 0
+    for _ in range(pairs):
+        a = np.array([rng.randrange(1 << 60) for _ in range(words)], np.uint64)
+        b = a.copy()
+        b[rng.sample(range(words), edits)] = [rng.randrange(1 << 60) for _ in range(edits)]
+        found += _met(a, b)
+    return found / pairs
+
+
+@pytest.mark.parametrize("edits", [30, 27, 22, 15])
+def test_similar_texts_share_an_element(edits):
+    assert recall(edits) > 0.97
+
+
+def test_short_similar_texts_always_share_an_element():
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(3000):
+        a = np.array([rng.randrange(1 << 60) for _ in range(rng.randrange(1, 15))], np.uint64)
+        b = _edited(rng, a, rng.randrange(3), ("insert", "delete", "replace")) if len(a) > 3 else a
+        if len(b) <= 14 and order_minhash.similar(a, b) is not None:
+            seen += 1
+            assert _met(a, b)
+    assert seen > 500

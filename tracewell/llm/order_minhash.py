@@ -1,8 +1,8 @@
 """Near-duplicate detection by Order MinHash.
 
-A text's k-mers are shingles of five words, each labelled with its occurrence number. For every hash function the
+A text's k-mers are shingles of three words, each labelled with its occurrence number. For every hash function the
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
-with a probability that follows edit similarity. Equal contents are one node. Nodes that share an element are candidates:
+with a probability that follows edit similarity. Short texts have further elements: similar ones share one always. Equal contents are one node. Nodes that share an element are candidates:
 small buckets give all their pairs. Larger ones first give some: they are dealt out again by pairs of elements, and what is
 large even then is linked to its first node and along its order. Then all pairs of a large bucket are compared, block by
 block, that these links left in different classes. Counts of words rule out most of them; banded alignment of the words
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Words in a shingle, shingles in an element, elements in a sketch, least edit similarity.
-K, ELL, ELEMENTS, SIMILAR = 5, 2, 24, 0.8
+K, ELL, ELEMENTS, SIMILAR = 3, 2, 48, 0.8
+#: Words of texts whose similar pairs are all found: their sketches also hold what they are without the edits allowed.
+SHORT = 14
 #: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
 SMALL, AGAIN = 8, 3
 #: Nodes in a range of a large bucket's chain.
@@ -99,8 +102,8 @@ def shingles(w: np.ndarray, k: int = K) -> np.ndarray:
         return s
 
 
-def sketch(w: np.ndarray) -> np.ndarray:
-    """ELEMENTS hashes, each of ELL shingles with the smallest hashes in text order; empty without words."""
+def sketch(w: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """ELEMENTS hashes, each of ELL shingles with the smallest hashes in text order, then those of without(); empty without words."""
     s = shingles(w)
     if not len(s):
         return s
@@ -118,7 +121,27 @@ def sketch(w: np.ndarray) -> np.ndarray:
         e = np.arange(1, ELEMENTS + 1).astype(np.uint64)
         for j in range(order.shape[1]):
             e = _mix(e * np.uint64(_BASE) + s[order[:, j]])
-        return e
+        return np.concatenate([e, without(w, least)])
+
+
+def without(w: np.ndarray, least: float) -> np.ndarray:
+    """Hashes of a text of SHORT words or fewer without any of its words, as many as may be edited; none for longer texts.
+
+    Texts that few edits part are equal without the words edited, so similar ones share a hash.
+    """
+    if len(w) > SHORT:
+        return w[:0]
+    # Against a longer text fewer of these are needed, as edits also make up for its length.
+    most = int(len(w) * (1 - least) + 1e-9)
+    out = []
+    with np.errstate(over="ignore"):
+        for gone in range(most + 1):
+            left = np.array(list(combinations(range(len(w)), len(w) - gone)))
+            h = np.full(len(left), len(w) - gone, np.uint64)
+            for j in range(left.shape[1]):
+                h = _mix(h * np.uint64(_BASE) + w[left[:, j]])
+            out.append(h)
+    return np.unique(np.concatenate(out))
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -232,15 +255,18 @@ def word_counts(w: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((w >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
-        out = [sketch(w).view(np.int64) for w in hashes]
-        sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-        values = np.concatenate(out) if out else np.empty(0, np.int64)
-        e = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int64()))
-        n = pa.array([len(w) for w in hashes], pa.int32())
-        yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": e, "words": n, "counts": pa.array([word_counts(w).tobytes() for w in hashes], pa.binary())})
+def _sketches(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [word_hashes(t) for t in batch.column("text").to_pylist()]
+            out = [sketch(w, least).view(np.int64) for w in hashes]
+            sizes = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            values = np.concatenate(out) if out else np.empty(0, np.int64)
+            e = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int64()))
+            n = pa.array([len(w) for w in hashes], pa.int32())
+            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": e, "words": n, "counts": pa.array([word_counts(w).tobytes() for w in hashes], pa.binary())})
+
+    return run
 
 
 def _verify(least: float):
@@ -268,7 +294,7 @@ def _verify(least: float):
 
 def buckets(nodes: DataFrame) -> DataFrame:
     """nodes: node, e (sketch) -> k, node, j, n (nodes in the bucket), first (the smallest), for buckets of two nodes or more."""
-    keys = nodes.select("node", F.posexplode("e").alias("j", "k")).select("node", "j", F.xxhash64("j", "k").alias("k"))
+    keys = nodes.select("node", F.posexplode("e").alias("j", "k")).select("node", F.least("j", F.lit(ELEMENTS)).alias("j"), "k").select("node", "j", F.xxhash64("j", "k").alias("k"))
     sizes = keys.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     return written(keys.join(sizes, "k"), "omh-buckets")
 
@@ -398,7 +424,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
-    rows = written(base.mapInArrow(_sketches, "id long, node binary, e array<bigint>, words int, counts binary"), "omh-sketches")
+    rows = written(base.mapInArrow(_sketches(least), "id long, node binary, e array<bigint>, words int, counts binary"), "omh-sketches")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("e"), F.col("words"), F.col("counts"))).alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.e", "m.words", "m.counts", "copies"), "omh-nodes")
     searched = nodes.where(F.size("e") > 0)
     met = buckets(searched.select("node", "e"))
