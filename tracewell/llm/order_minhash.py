@@ -93,12 +93,10 @@ def shingles(w: np.ndarray, k: int = K) -> np.ndarray:
         order = np.argsort(s, kind="stable")
         t = s[order]
         new = np.concatenate([[True], t[1:] != t[:-1]])
-        if not new.all():
-            at = np.arange(n)
-            label = at - np.maximum.accumulate(np.where(new, at, 0))
-            t = _mix(t + label.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            s = np.empty(n, np.uint64)
-            s[order] = t
+        at = np.arange(n)
+        label = at - np.maximum.accumulate(np.where(new, at, 0))
+        # First occurrences get their label too: they must agree with those of texts that repeat nothing.
+        s[order] = _mix(t + label.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         return s
 
 
