@@ -1,9 +1,9 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents are dealt by hash into groups of a bounded number of pieces, and each group is packed by itself: longest
-first, every piece goes where the least room is left. When no open bin has room, a bin is opened whose length costs
-least; every choice of a smallest length to open is tried on the group, and the cheapest packing stays. At the end each
-bin is downsized to the smallest length that holds its contents. Only identifiers and sizes are moved, not texts.
+first, every piece goes where the least room is left. When no open bin has room, of all permitted lengths that one is opened
+which costs least for each token that it will hold; packings that open no bin below a given length are tried too, and the
+group's cheapest packing stays. At the end each bin is downsized to the smallest length that holds its contents. Only identifiers and sizes are moved, not texts.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +30,22 @@ def cost(length: int) -> int:
     return length + OVERHEAD
 
 
-def best_fit(sizes: Sequence[int], lengths: Sequence[int], opens: int) -> tuple[list[int], list[int], list[int]]:
+def best_fit(sizes: Sequence[int], lengths: Sequence[int], opens: int | None = None) -> tuple[list[int], list[int], list[int]]:
     """sizes, none above the largest length -> the bin of each, its offset there, the length of each bin after downsizing.
 
-    opens: no shorter bin is opened, if the piece would fit. A piece takes the bin with the least room that holds it.
+    A piece takes the bin with the least room that holds it. If none does, the bin size with the least cost for each token that
+    it would hold is opened: the piece, and as much of what is still to be placed as has room. Of equal ones the longest is.
+    opens: the smallest length to open instead, if the piece would fit.
     """
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     rooms: list[int] = []  # distinct rooms left, ascending
     by_room: dict[int, list[int]] = {}
-    where, offset, used, opened = [0] * len(sizes), [0] * len(sizes), [], []
+    where, offset, used = [0] * len(sizes), [0] * len(sizes), []
+    left_over = sum(sizes)
     for i in order:
         s = sizes[i]
+        left_over -= s
         k = bisect_left(rooms, s)
         if k < len(rooms):
             room = rooms[k]
@@ -52,8 +56,11 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], opens: int) -> tuple[
         else:
             b = len(used)
             used.append(0)
-            room = next(x for x in lengths if x >= max(s, opens))
-            opened.append(room)
+            if opens is None:
+                fit = [x for x in lengths if x >= s]
+                room = min(fit, key=lambda x: (cost(x) / (s + min(x - s, left_over)), -x))
+            else:
+                room = next(x for x in lengths if x >= max(s, opens))
         where[i], offset[i] = b, used[b]
         used[b] += s
         left = room - s
@@ -66,24 +73,23 @@ def best_fit(sizes: Sequence[int], lengths: Sequence[int], opens: int) -> tuple[
 
 
 def pack_sizes(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[list[int], list[int], list[int]]:
-    """The cheapest of best_fit() over every smallest length to open; of equal ones, that which opens the longest bins."""
-    tries = [best_fit(sizes, lengths, opens) for opens in sorted(lengths, reverse=True)]
+    """The cheapest of best_fit() with the least-cost choice at each opening, and with every smallest length to open; of equal ones, the first."""
+    tries = [best_fit(sizes, lengths), *(best_fit(sizes, lengths, opens) for opens in sorted(lengths, reverse=True))]
     return min(tries, key=lambda t: sum(map(cost, t[2])))
 
 
 def _pack_group(lengths: tuple[int, ...]):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "id", "key", "piece", "start"], ascending=[False, True, True, True, True], na_position="last", kind="stable").reset_index(drop=True)
-        sizes = pdf["size"].astype(int).tolist()
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "descending"), ("id", "ascending"), ("key", "ascending"), ("piece", "ascending"), ("start", "ascending")])
+        sizes = table.column("size").to_pylist()
         where, offset, kept = pack_sizes(sizes, lengths)
         used = [0] * len(kept)
         for b, s in zip(where, sizes, strict=True):
             used[b] += s
-        group = int(pdf["grp"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({
-            "id": pdf["id"].astype("Int64"), "key": pdf["key"], "piece": pdf["piece"], "start": pdf["start"], "size": pdf["size"],
-            "bin_id": [group * (1 << 32) + b for b in where], "bin_length": [kept[b] for b in where], "bin_used": [used[b] for b in where], "bin_offset": offset,
-        })
+        group = table.column("grp")[0].as_py() if len(sizes) else 0
+        own = [table.column(c).cast(t) for c, t in (("id", pa.int64()), ("key", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("size", pa.int64()))]
+        bins = [pa.array([group * (1 << 32) + b for b in where], pa.int64()), *(pa.array(x, pa.int32()) for x in ([kept[b] for b in where], [used[b] for b in where], offset))]
+        return pa.table([*own, *bins], names=["id", "key", "piece", "start", "size", "bin_id", "bin_length", "bin_used", "bin_offset"])
 
     return pack
 
@@ -105,6 +111,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     pieces = pieces.select("id", "key", "row", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(top)).cast("long").alias("size"))
     # Repeated rows differ in their place in the written table, so a group's size depends on the number of pieces only.
     dealt = pieces.where("size > 0").withColumn("grp", F.pmod(F.xxhash64("id", "key", "piece", "row"), F.lit(groups)).cast("int"))
-    packed = dealt.groupBy("grp").applyInPandas(_pack_group(tuple(lengths)), SCHEMA)
+    packed = dealt.groupBy("grp").applyInArrow(_pack_group(tuple(lengths)), SCHEMA)
     none = pieces.where("size = 0").select("id", "key", "piece", "start", "size", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_length"), F.lit(None).cast("int").alias("bin_used"), F.lit(None).cast("int").alias("bin_offset"))
     return packed.unionByName(none).drop("key")
