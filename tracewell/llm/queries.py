@@ -78,23 +78,22 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
-    rows = [(p, x, True) for p, x in license_scan.BASE.items()] + [(p, x, False) for p, x in license_scan.TEMPLATES]
-    values = []
-    for tid, (text, label, base) in enumerate(rows):
-        w = text.split()
-        values += [f"({tid},'{label}',{str(base).lower()},{len(w) - 1},{k},'{w[k]}','{w[k + 1]}')" for k in range(len(w) - 1)]
+    values = ",".join(f"({t},'{x}',{str(base).lower()},{n},'{spelt}',{k},'{a}','{b}','{la}','{lb}')" for t, x, base, n, spelt, k, a, b, la, lb in license_scan.template_rows())
     return f"""
-WITH tpl(tid,label,base,pairs,tpos,a,b) AS (VALUES {",".join(values)}),
+WITH tpl(tid,label,base,length,spelt,tpos,a,b,la,lb) AS (VALUES {values}),
 w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text,''),'{license_scan.UPPER}','{license_scan.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 p AS (SELECT r, unnest(range(len(w) - 1)) AS pos, w FROM w WHERE len(w) > 1),
 g AS (SELECT r, pos, w[pos + 1] AS a, w[pos + 2] AS b FROM p),
-h AS (SELECT r, tid, label, base, pairs, tpos, pos, pos - tpos AS diag FROM g JOIN tpl USING (a, b)),
-v AS (SELECT r, tid, label, base, pairs, diag, list(DISTINCT tpos) AS ats, min(pos) AS lo FROM h GROUP BY ALL),
-s AS (SELECT *, CASE WHEN base OR coalesce(diag - lag(diag) OVER (PARTITION BY r, tid ORDER BY diag) > {license_scan.GAP}, true) THEN 1 ELSE 0 END AS far FROM v),
-u AS (SELECT *, sum(far) OVER (PARTITION BY r, tid ORDER BY diag) AS span FROM s),
-m AS (SELECT r, tid, label, base, pairs, span, len(list_distinct(flatten(list(ats)))) AS hits, min(lo) AS first FROM u GROUP BY ALL),
-d AS (SELECT r, count(*) FILTER (base AND hits = pairs) AS n_base, min(first) FILTER (base AND hits = pairs) AS first_word, max(first) FILTER (base AND hits = pairs) AS last_word,
- string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND hits = pairs) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (hits / pairs >= {license_scan.SHARE}) AS labels, max(100 * hits // pairs) / 100 AS score FROM m GROUP BY r)
+h AS (SELECT r, tid, label, base, length, spelt, pos, pos - tpos AS diag, la, lb FROM g JOIN tpl USING (a, b)),
+x AS (SELECT DISTINCT r, tid, label, base, length, spelt, diag FROM h),
+n AS (SELECT x.*, h.pos, h.la, h.lb FROM x JOIN h ON h.r = x.r AND h.tid = x.tid AND h.diag BETWEEN x.diag AND x.diag + CASE WHEN x.base THEN 0 ELSE {license_scan.DRIFT} END),
+c AS (SELECT r, tid, diag, pos AS spot, la AS c FROM n UNION SELECT r, tid, diag, pos + 1, lb FROM n),
+k AS (SELECT *, spot - coalesce(lag(spot) OVER (PARTITION BY r, tid, diag ORDER BY spot) + 1, spot) AS gap FROM c),
+o AS (SELECT r, tid, diag, string_agg(repeat('{license_scan.STRANGER}', gap::BIGINT) || c, '' ORDER BY spot) AS s, min(spot) AS first FROM k GROUP BY ALL),
+m AS (SELECT x.*, o.first, greatest(0, x.length - levenshtein(o.s, x.spelt)) AS good FROM x JOIN o USING (r, tid, diag)),
+d AS (SELECT r, count(*) FILTER (base AND good = length) AS n_base, min(first) FILTER (base AND good = length) AS first_word, max(first) FILTER (base AND good = length) AS last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND good = length) AS base_labels,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN base THEN good = length ELSE good / length >= {license_scan.SHARE} END) AS labels, max(100 * good // length) / 100 AS score FROM m GROUP BY r)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM w LEFT JOIN d ON w.r = d.r"""
 
