@@ -1,8 +1,9 @@
 """Quality by attention-based multiple-instance learning.
 
-A text is a bag of passages. Each passage is described by counts of its words and marks and encoded by a learned
-layer; gated attention, tanh and sigmoid branches multiplied, gives every passage its weight; a linear layer on the
-weighted sum of the codes gives the score. All layers are learned together from labels of whole documents.
+A text is a bag of passages. Each passage is described by its words and characters: hashed words, classes of characters, and
+how its words repeat, and encoded by a learned layer; gated attention, tanh and sigmoid branches multiplied, gives every passage its
+weight; a linear layer on the weighted sum of the codes gives the score. All layers are learned together from labels of whole
+documents.
 """
 
 from __future__ import annotations
@@ -18,38 +19,104 @@ from pyspark.sql import functions as F
 from .common import written
 from .toxicity import training_sample
 
-#: Words in a passage; labelled training rows; passages of a training text that are used are all of them.
-PASSAGE, MAX_TRAIN = 64, 8_000
+#: Words in a passage; labelled training rows, and the most bytes that a training text may have. All rows are scored whole.
+PASSAGE, MAX_TRAIN, MAX_BYTES = 64, 8_000, 1 << 19
 HIDDEN, ATTENTION = 24, 12
-#: Rounds of training and their step.
-EPOCHS, BATCH, STEP = 12, 64, 0.01
-N_FEATURES = 16
-MARKS = "#*$%&|<>"
-ENDS = frozenset(MARKS + "!?")
+#: Gradient steps of training, texts in each, their size; the same however many labels there are.
+STEPS, BATCH, STEP = 1500, 64, 0.01
+#: Bins of hashed words; classes of characters: letters one by one, upper-case letters, digits, symbols, and so on.
+WORD_BINS = 48
+CLASSES = [*"abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>", ".", ",", "!?", ":;", "'\"", "()[]{}", "-_/\\~^@+=`", "\n", " \t\x0b\x0c\r"]
+#: Then come the class of all other bytes, and counts of the passage's words.
+N_COUNTS = 6
+N_FEATURES = WORD_BINS + len(CLASSES) + 1 + N_COUNTS
+#: Bytes of a text that are looked at together.
+PIECE = 1 << 20
+
+_CLASS = np.full(256, len(CLASSES), np.uint8)
+for _k, _chars in enumerate(CLASSES):
+    _CLASS[list(_chars.encode())] = _k
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\x0b\x0c\r")] = True
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """raw in pieces of whole passages, about PIECE bytes each, longer only for longer words; a piece ends between words."""
+    at = 0
+    while len(raw) - at > PIECE:
+        words = raw[at : at + PIECE].split()
+        # The last word may be cut, and passages are not.
+        whole = (len(words) - 1) // PASSAGE * PASSAGE
+        if whole < PASSAGE:
+            break
+        text = raw[at : at + PIECE]
+        b = np.frombuffer(text, np.uint8)
+        inside = ~_SPACE[b]
+        starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
+        end = int(starts[whole])
+        yield text[:end]
+        at += end
+    yield raw[at:]
 
 
 def passages(text: str | None) -> np.ndarray:
     """(passages, N_FEATURES); a text without words is one passage of zeros."""
-    w = (text or "").split()
-    out = np.zeros((max(1, -(-len(w) // PASSAGE)), N_FEATURES), np.float32)
-    for k in range(0, len(w), PASSAGE):
-        p = w[k : k + PASSAGE]
-        n, s = len(p), "".join(p)
-        c = len(s)
-        low = s.lower()
-        distinct = len(set(p))
-        marks = sum(map(s.count, MARKS))
-        upper = sum(a != b for a, b in zip(s, low, strict=False)) if s != low else 0
-        ended = sum(x[-1] in ENDS for x in p)
-        digits = sum(map(s.count, "0123456789"))
-        stops = s.count(".")
-        commas = s.count(",")
-        out[k // PASSAGE] = (
-            min(n, PASSAGE) / PASSAGE, distinct / n, marks / c, upper / c, ended / n, digits / c, stops / n, commas / n,
-            s.count("!") / n, s.count("|") / n, c / n / 10, sum(a == b for a, b in zip(p, p[1:], strict=False)) / n, sum(x.isalpha() for x in p) / n,
-            len(set(low)) / 40, max(map(len, p)) / 40, s.count("http") / n,
-        )
-    return out
+    out = [_described(piece) for piece in _pieces((text or "").encode("utf-8", "replace"))]
+    out = [x for x in out if len(x)]
+    return np.concatenate(out) if out else np.zeros((1, N_FEATURES), np.float32)
+
+
+def _described(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    inside = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2]
+    n = len(starts)
+    if not n:
+        return np.zeros((0, N_FEATURES), np.float32)
+    of = np.arange(n) // PASSAGE
+    k = int(of[-1]) + 1
+    words = np.bincount(of, minlength=k).astype(np.float64)
+    length = (ends - starts).astype(np.float64)
+    # Bytes from a passage's first word up to the next passage's.
+    begin = starts[::PASSAGE].copy()
+    begin[0] = 0
+    byte_of = np.repeat(np.arange(k), np.diff(np.append(begin, len(b))))
+    n_classes = len(CLASSES) + 1
+    classes = np.bincount(byte_of * n_classes + _CLASS[b], minlength=k * n_classes).reshape(k, n_classes)
+    size = np.maximum(classes.sum(1), 1)[:, None]
+    h = _word_hashes(_LOW[b], starts, ends)
+    bins = np.bincount(of * WORD_BINS + (h >> np.uint64(40)).astype(np.int64) % WORD_BINS, minlength=k * WORD_BINS).reshape(k, WORD_BINS)
+    order = np.lexsort((h, of))
+    new = np.concatenate([[True], (of[order][1:] != of[order][:-1]) | (h[order][1:] != h[order][:-1])])
+    distinct = np.bincount(of[order][new], minlength=k)
+    again = np.concatenate([[False], (h[1:] == h[:-1]) & (of[1:] == of[:-1])])
+    counts = np.stack([
+        words / PASSAGE, distinct / words, np.bincount(of, length, k) / words / 10, np.maximum.reduceat(length, np.arange(0, n, PASSAGE)) / 40,
+        np.bincount(of[again], minlength=k) / words, np.bincount(of[np.isin(b[ends - 1], list(b"#*$%&|<>!?"))], minlength=k) / words,
+    ], 1)
+    return np.concatenate([bins / words[:, None], classes / size, counts], 1).astype(np.float32)
+
+
+def _word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each word, of its bytes."""
+    with np.errstate(over="ignore"):
+        # Words of up to 8 bytes are looked at as a number, longer ones as several, one after another.
+        h = (ends - starts).astype(np.uint64)
+        padded = np.concatenate([b, np.zeros(8, np.uint8)])
+        at, left = starts.astype(np.int64), np.arange(len(starts))
+        while len(left):
+            width = np.minimum(ends[left] - at[left], 8)
+            v = padded[at[left][:, None] + np.arange(8)].astype(np.uint64)
+            v[np.arange(8) >= width[:, None]] = 0
+            x = (v << (np.arange(8, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+            y = (h[left] ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            h[left] = y ^ (y >> np.uint64(29))
+            at[left] += 8
+            left = left[at[left] < ends[left]]
+        return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
 @dataclass
@@ -110,21 +177,21 @@ def fit(parts: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Model:
     parts = [np.clip((x - mean) / scale, -6, 6) for x in parts]
     p = _start(seed)
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
-    r, step = np.random.default_rng(seed), 0
+    r = np.random.default_rng(seed)
     n1 = max(1.0, y.sum())
     n0 = max(1.0, len(y) - y.sum())
     weight = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
-    for _ in range(EPOCHS if len(y) > 2000 else EPOCHS * 5):
-        order = r.permutation(len(y))
-        for k in range(0, len(y), BATCH):
-            some = order[k : k + BATCH]
-            g = gradients(p, *_bags([parts[i] for i in some]), y[some], weight[some])
-            step += 1
-            for name, a in g.items():
-                a = a + 1e-4 * p[name]
-                m[name] = 0.9 * m[name] + 0.1 * a
-                v[name] = 0.999 * v[name] + 0.001 * a * a
-                p[name] = p[name] - STEP * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+    order = np.empty(0, int)
+    for step in range(1, STEPS + 1):
+        if len(order) < min(BATCH, len(y)):
+            order = np.concatenate([order, r.permutation(len(y))])
+        some, order = order[:BATCH], order[BATCH:]
+        g = gradients(p, *_bags([parts[i] for i in some]), y[some], weight[some])
+        for name, a in g.items():
+            a = a + 1e-4 * p[name]
+            m[name] = 0.9 * m[name] + 0.1 * a
+            v[name] = 0.999 * v[name] + 0.001 * a * a
+            p[name] = p[name] - STEP * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
     p["b"] = p["b"] + np.log(n1 / n0)
     return Model(mean, scale, p)
 
@@ -135,8 +202,13 @@ def predict(model: Model, parts: list[np.ndarray]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> Model | None:
-    """labels: id, y. fold: a condition on id; only its labels are read. None without labels."""
-    sample = written(training_sample(docs, labels, fold, id_col, text_col, limit), "quality-sample")
+    """labels: id, y. fold: a condition on id; only its labels are read. None without labels.
+
+    The model is fitted on about limit labelled rows, one for each identifier, of texts of up to MAX_BYTES bytes. Null and empty
+    texts are a bag of one empty passage. Columns beside the named ones are ignored.
+    """
+    short = docs.where(F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) <= MAX_BYTES)
+    sample = written(training_sample(short, labels, fold, id_col, text_col, limit), "quality-sample")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_i
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score for every row of docs, 0 to 1. Null and empty texts are a bag of one empty passage. Without a model: 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 1,500 numbers
+    """id, score for every row of docs, 0 to 1. Null and empty texts are a bag of one empty passage. Without a model: 0.5.
+
+    Equal texts, repeated or not, score the same. An empty table gives an empty result; columns beside the two named ones are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about 3,500 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -20,8 +20,8 @@ def _predicted(scored: DataFrame, held_out, cutoff: float) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
-    model = toxicity.train(docs, labels, ~_fold("id", 3, 1))
-    return _predicted(toxicity.score(docs, model), _fold("id", 3, 1), 0.7)
+    _, scores = toxicity.train_and_score(docs, labels, ~_fold("id", 3, 1))
+    return _predicted(scores, _fold("id", 3, 1), 0.7)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ The classifier scores every text.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,7 +39,7 @@ CORRELATED = 0.15
 
 WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
 MASK = str.maketrans("013457@$!", "oieastasi")
-MASKED = re.compile(r"\b(?=\w*[a-z])(?=\S*[0-9@$])[a-z0-9@$]{3,}\b")
+MASKED = re.compile(r"[a-z0-9@$!]{3,}")
 SPELT = re.compile(r"\b(?:[a-z][.\-*_ ]){3,}[a-z]\b")
 
 
@@ -57,24 +56,32 @@ class Model:
     bias: float = 0.0
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> tuple[str, list[str]]:
+    """The text in lower case and its words."""
+    low = (text or "").lower()
+    return low, WORD.findall(low)
 
 
-def votes_of(text: str | None, counts: Counter, groups: list[frozenset[str]]) -> list[int]:
-    """One vote for each group of words, then the pattern voters."""
-    keys = counts.keys()
-    found = [set() if keys.isdisjoint(g) else keys & g for g in groups]
-    out = [int(bool(f)) for f in found]
-    bad = set().union(*found) if any(out) else set()
-    low = (text or "").lower()
-    n = sum(counts.values())
-    dense = sum(counts[w] for w in bad)
+def _is_masked(low: str, bad: frozenset[str]) -> bool:
+    """Whether a word of the lexicons is spelt with digits or marks, or letter by letter. Linear in the text's length."""
+    for m in MASKED.finditer(low):
+        t = m.group()
+        if not t.isalpha() and not t.isdigit() and t.rstrip("!").translate(MASK) in bad and t.rstrip("!") not in bad:
+            return True
+    return any(re.sub(r"[^a-z]", "", m.group()) in bad for m in SPELT.finditer(low))
+
+
+def votes_of(low: str, words: list[str], groups: list[frozenset[str]], everything: frozenset[str]) -> list[int]:
+    """One vote for each group of words, then the pattern voters. everything: all groups' words."""
+    keys = set(words)
+    bad = keys & everything
+    out = [int(not bad.isdisjoint(g)) for g in groups]
+    n = len(words)
+    dense = sum(w in bad for w in words) if bad else 0
     out.append(int(len(bad) >= 2))
     out.append(int(n > 0 and dense * 200 >= n and dense > 0))
-    out.append(int(bool(bad) and any(re.search(rf"\b(?:you|your|they|he|she)\b[^.!?]{{0,40}}\b{re.escape(w)}\b", low) for w in bad)))
-    plain = any(any(m.group().translate(MASK) in g for g in groups) for m in MASKED.finditer(low)) or any(any(re.sub(r"[^a-z]", "", m.group()) in g for g in groups) for m in SPELT.finditer(low))
-    out.append(int(plain))
+    out.append(int(bool(bad) and re.search(rf"\b(?:you|your|they|he|she)\b[^.!?]{{0,40}}\b(?:{'|'.join(map(re.escape, sorted(bad)))})\b", low) is not None))
+    out.append(int(_is_masked(low, everything)))
     out.append(int(low.count("!") * 10 > n > 0))
     return out
 
@@ -99,7 +106,9 @@ def fit_label_model(moments: np.ndarray, total: int, prior: float) -> tuple[np.n
     free &= np.outer(live, live)
     a = np.full(m, 0.5) * live
     pairs: set[tuple[int, int]] = set()
-    for _ in range(8):
+    # Each time round one pair is called correlated and the rest is fitted anew, until no residual stands out or too few pairs
+    # are left to tell the accuracies from.
+    while True:
         for _ in range(200):
             for i in range(m):
                 w = free[i] * 1.0
@@ -150,30 +159,36 @@ def _rows(batches: Iterator[pa.RecordBatch], *cols: str):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str, text_col: str, limit: int) -> DataFrame:
-    """id, text, y of labelled rows in the fold, about limit of them: all, or those with the smallest hashes of the identifier."""
+    """id, text, y of labelled rows in the fold, about limit of them: all, or those with the smallest hashes of the identifier.
+
+    A label given several times counts once, with its largest value; of rows that share an identifier one is used, that with
+    the smallest text, so repeated rows can't make the sample larger. Null identifiers and labels are left out.
+    """
     marks = labels.where(F.col("y").isNotNull() & F.col("id").isNotNull() & fold).groupBy("id").agg(F.max("y").alias("y"))
     n = marks.count()
     if n > limit:
         # A cut through the hashes' range: bounded in expectation, the same rows at every run.
         marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * limit / n))
     chosen = F.broadcast(marks)  # about limit rows of two numbers
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(chosen, "id")
+    return rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> Model:
-    """labels: id, y. fold: a condition on id; only its labels are read."""
-    sample = written(training_sample(docs, labels, fold, id_col, text_col, limit), "toxic-sample")
+def lexicon(sample: DataFrame) -> tuple[Model, int, int]:
+    """Voters and vocabulary from the labelled sample, and how many of its texts are toxic and not."""
 
     def count(batches):
-        for batch, rows in _rows(batches, "text", "y"):
-            on: Counter = Counter()
-            off: Counter = Counter()
-            n = [0, 0]
+        on: dict[str, int] = {}
+        off: dict[str, int] = {}
+        n = [0, 0]
+        for _, rows in _rows(batches, "text", "y"):
             for text, y in rows:
-                (on if y else off).update(word_counts(text).keys())
+                into = on if y else off
+                for w in set(words_of(text)[1]):
+                    into[w] = into.get(w, 0) + 1
                 n[bool(y)] += 1
-            keys = list(on.keys() | off.keys())
-            yield pa.record_batch({"word": pa.array([*keys, ""]), "pos": pa.array([*(on[k] for k in keys), n[1]], pa.int64()), "neg": pa.array([*(off[k] for k in keys), n[0]], pa.int64())})
+        keys = list(on.keys() | off.keys())
+        yield pa.record_batch({"word": pa.array([*keys, ""]), "pos": pa.array([*(on.get(k, 0) for k in keys), n[1]], pa.int64()), "neg": pa.array([*(off.get(k, 0) for k in keys), n[0]], pa.int64())})
 
     words = written(sample.mapInArrow(count, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "toxic-words")
     totals = words.where("word = ''").first()
@@ -184,65 +199,86 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_i
     odd = [r["word"] for r in top.orderBy(F.desc(F.abs(F.log("ratio")) * F.sqrt(F.col("pos") + F.col("neg"))), "word").limit(MAX_WORDS).collect()] if n1 and n0 else []
     voters = [*LEXICON.values(), *(induced[k::INDUCED_VOTERS] for k in range(INDUCED_VOTERS))]
     names = [*LEXICON, *(f"induced{k}" for k in range(INDUCED_VOTERS)), *PATTERNS]
-    groups = [frozenset(v) for v in voters]
-    m = len(names)
+    return Model([list(v) for v in voters], names, words={x: k for k, x in enumerate(odd)}), n1, n0
 
-    def moments(batches):
-        total, n = np.zeros((m, m), np.int64), 0
-        for _, rows in _rows(batches, "text"):
-            for (text,) in rows:
-                v = np.flatnonzero(votes_of(text, word_counts(text), groups))
-                n += 1
-                if len(v):
-                    total[np.ix_(v, v)] += 1
-        yield pa.record_batch({"k": pa.array([*range(m * m), -1], pa.int32()), "n": pa.array([*total.ravel(), n], pa.int64())})
-
-    # Over all documents: m x m sums from each task, added up before they are moved.
-    sums = {r["k"]: r["n"] for r in docs.select(F.col(text_col).alias("text")).mapInArrow(moments, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    second = np.array([sums.get(k, 0) for k in range(m * m)], float).reshape(m, m)
-    prior = min(max((n1 + 1) / (n1 + n0 + 2), 0.001), 0.5) if n1 + n0 else 0.05
-    w, b, acc, corr = fit_label_model(second, sums.get(-1, 0), prior)
-    model = Model([list(v) for v in voters], names, w.tolist(), b, acc.tolist(), corr, {x: k for k, x in enumerate(odd)})
 
-    def features(batches):
-        for batch, rows in _rows(batches, "text"):
-            out = [_features(text, groups, model.words) for (text,) in rows]
-            yield pa.record_batch({"v": pa.array([list(v) for v, _ in out], pa.list_(pa.int32())), "f": pa.array([f for _, f in out], pa.list_(pa.int32()))})
+def features(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, v (a bit for each voter), f (numbers of the vocabulary's words) for every row of docs, in one pass over its texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.voters, model.words))  # a few hundred words
 
-    got = sample.select("text").mapInArrow(features, "v array<int>, f array<int>").toPandas()  # limit rows of a few small numbers
-    x = np.zeros((len(got), m + len(odd)))
-    y = np.zeros(len(got))
+    def run(batches):
+        voters, vocabulary = shared.value
+        groups = [frozenset(v) for v in voters]
+        everything = frozenset().union(*groups)
+        for batch, rows in _rows(batches, "text"):
+            v, f = [], []
+            for (text,) in rows:
+                low, words = words_of(text)
+                v.append(sum(b << k for k, b in enumerate(votes_of(low, words, groups, everything))))
+                f.append(sorted(vocabulary[w] for w in vocabulary.keys() & set(words)))
+            yield pa.record_batch({"id": batch.column("id"), "v": pa.array(v, pa.int32()), "f": pa.array(f, pa.list_(pa.int32()))})
+
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(run, "id long, v int, f array<int>")
+
+
+def fit(model: Model, found: DataFrame, sample: DataFrame, n1: int, n0: int) -> Model:
+    """found: features() of all documents; sample: the labelled rows. Fills in the label model and the classifier."""
+    m = len(model.names)
+    # Over all documents: rows with the same votes are counted first, so 2^m rows at most are moved, a few hundred in practice.
+    second, total = np.zeros((m, m)), 0
+    for row in found.groupBy("v").agg(F.count("*").alias("n")).collect():
+        on = [k for k in range(m) if row["v"] >> k & 1]
+        second[np.ix_(on, on)] += row["n"]
+        total += row["n"]
+    prior = min(max((n1 + 1) / (n1 + n0 + 2), 0.001), 0.5) if n1 + n0 else 0.05
+    w, b, acc, corr = fit_label_model(second, total, prior)
+    model.vote_weights, model.vote_bias, model.accuracies, model.correlations = w.tolist(), b, acc.tolist(), corr
+    chosen = F.broadcast(sample.select("id"))  # MAX_TRAIN rows of a number, about
+    got = found.join(chosen, "id").groupBy("id").agg(F.min(F.struct("v", "f")).alias("x")).select("id", "x.v", "x.f").orderBy("id").toPandas()
+    x, y = np.zeros((len(got), m + len(model.words))), np.zeros(len(got))
     for i, (v, f) in enumerate(zip(got["v"], got["f"], strict=True)):
-        x[i, :m] = v
+        x[i, :m] = [v >> k & 1 for k in range(m)]
         x[i, m + np.asarray(f, int)] = 1
-        y[i] = 1 / (1 + np.exp(-np.clip(np.dot(w, v) + b, -30, 30)))
+        y[i] = 1 / (1 + np.exp(-np.clip(x[i, :m] @ w + b, -30, 30)))
     if len(got):
         weights, model.bias = fit_linear(x, y)
     else:
-        weights, model.bias = np.concatenate([w, np.zeros(len(odd))]), b
+        weights, model.bias = np.concatenate([w, np.zeros(len(model.words))]), b
     model.weights = weights.tolist()
     return model
 
 
-def _features(text: str | None, groups: list[frozenset[str]], vocabulary: dict[str, int]) -> tuple[list[int], list[int]]:
-    counts = word_counts(text)
-    return votes_of(text, counts, groups), sorted(vocabulary[w] for w in counts.keys() & vocabulary.keys())
+def scored(found: DataFrame, model: Model) -> DataFrame:
+    """features() -> id, score."""
+    m = len(model.names)
+    votes = F.lit(float(model.bias))
+    for k, w in enumerate(model.weights[:m]):
+        votes = votes + F.when(F.col("v").bitwiseAND(1 << k) != 0, float(w)).otherwise(0.0)
+    weights = F.array(*map(F.lit, [*map(float, model.weights[m:]), 0.0]))
+    z = F.aggregate("f", votes, lambda acc, i: acc + F.get(weights, i))
+    return found.select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score for every row of docs, 0 to 1. Null and empty texts score what no word at all scores."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few thousand numbers
+def train_and_score(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> tuple[Model, DataFrame]:
+    """The model, and id, score (0 to 1) for every row of docs; texts are read once beside the labelled sample.
+
+    labels: id, y. fold: a condition on id; only its labels are read. Null and empty texts score what no word at all scores;
+    rows with equal texts, repeated or not, score the same; ties between words go by code point. Without labels the label model's
+    prior is 0.05 and its posterior is the score. An empty table gives an empty result; columns beside the named ones are ignored.
+    """
+    sample = written(training_sample(docs, labels, fold, id_col, text_col, limit), "toxic-sample")
+    model, n1, n0 = lexicon(sample)
+    found = written(features(docs, model, id_col, text_col), "toxic-features")
+    fit(model, found, sample, n1, n0)
+    return model, scored(found, model)
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_TRAIN) -> Model:
+    """The model alone, for score(); see train_and_score()."""
+    return train_and_score(docs, labels, fold, id_col, text_col, limit)[0]
 
-    def run(batches):
-        mod = shared.value
-        groups = [frozenset(v) for v in mod.voters]
-        w, m = np.array(mod.weights), len(mod.names)
-        for batch, rows in _rows(batches, "text"):
-            out = np.empty(batch.num_rows)
-            for k, (text,) in enumerate(rows):
-                v, f = _features(text, groups, mod.words)
-                out[k] = mod.bias + np.dot(w[:m], v) + sum(w[m + i] for i in f)
-            yield pa.record_batch({"id": batch.column("id"), "score": pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))))})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, score double")
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score for every row of docs, by a model trained before; see train_and_score()."""
+    return scored(features(docs, model, id_col, text_col), model)
