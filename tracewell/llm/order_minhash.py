@@ -1,17 +1,17 @@
 """Near-duplicate detection by Order MinHash.
 
-A text's k-mers are shingles of three words, each labelled with its occurrence number. For every hash function the
+A text's k-mers are shingles of five words, each labelled with its occurrence number. For every hash function the
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
-with a probability that follows edit similarity. Short texts have further elements: similar ones share one always. Equal contents are one node. Nodes that share an element are candidates:
-small buckets give all their pairs. Larger ones first give some: they are dealt out again by pairs of elements, and what is
-large even then is linked to its first node and along its order. Then all pairs of a large bucket are compared, block by
-block, that these links left in different classes. Counts of words rule out most of them; banded alignment of the words
+with a probability that follows edit similarity. Short texts have further elements: similar ones share one always. Equal
+contents are one node. Nodes that share an element are candidates: small buckets give all their pairs. In some of the larger
+ones it is in, each node is linked to the bucket's first node and to the next one in order. Then the pairs of large buckets that these links left in different classes are searched without loss: an edit breaks two
+pairs of neighbouring words at most, so similar texts share one of the rarest of theirs, if each has as many as edits may break
+and one more; nodes meet at these. Lengths, and counts of words where many meet, rule out most; banded alignment of the words
 verifies the others. Classes are the connected components of the verified links, as if every pair of every bucket were aligned.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,18 +20,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.scans import join_groups
+
 from .common import written
 
 #: Words in a shingle, shingles in an element, elements in a sketch, least edit similarity.
-K, ELL, ELEMENTS, SIMILAR = 3, 2, 48, 0.8
+K, ELL, ELEMENTS, SIMILAR = 5, 2, 96, 0.8
 #: Words of texts whose similar pairs are all found: their sketches also hold what they are without the edits allowed.
 SHORT = 14
-#: Nodes in a bucket that gives all its pairs; partners that an element of a larger bucket is paired with.
-SMALL, AGAIN = 8, 3
+#: Nodes in a bucket that gives all its pairs; larger buckets in which a node is linked before they are searched.
+SMALL, LINKED = 8, 3
 #: Nodes in a range of a large bucket's chain.
 RANGE = 1000
 #: Nodes in a block of a large bucket; counters of a text's words; edits that are looked for diagonal by diagonal.
 BLOCK, BINS, FEW = 256, 128, 12
+#: Nodes at a rare pair of words that give all their pairs; expected nodes from which common pairs of words are known, and the share of
+#: them that makes a pair common. These change the order in which pairs count as rare, so the time, but not what is found.
+MEETING, KNOWN, COMMON = 32, 2000, 0.01
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -250,7 +255,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 
 def word_counts(w: np.ndarray) -> np.ndarray:
     """How many words fall into each of BINS counters, 255 at most."""
-    return np.minimum(np.bincount((w >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
+    return np.minimum(np.bincount((_mix(w) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
 def _sketches(least: float):
@@ -262,26 +267,18 @@ def _sketches(least: float):
             values = np.concatenate(out) if out else np.empty(0, np.int64)
             e = pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, pa.int64()))
             n = pa.array([len(w) for w in hashes], pa.int32())
-            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": e, "words": n, "counts": pa.array([word_counts(w).tobytes() for w in hashes], pa.binary())})
+            own = pa.array([(w >> np.uint64(32)).astype(np.uint32).tobytes() for w in hashes], pa.binary())
+            yield pa.record_batch({"id": batch.column("id"), "node": batch.column("node"), "e": e, "words": n, "w": own})
 
     return run
 
 
 def _verify(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def hashes(node: bytes, text: str) -> np.ndarray:
-            if node not in held:
-                held[node] = word_hashes(text)
-                if len(held) > 64:
-                    held.popitem(last=False)
-            return held[node]
-
         for batch in batches:
             kept = [[], [], []]
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                s = similar(hashes(a, x), hashes(b, y), least)
+                s = similar(_widened(x), _widened(y), least)
                 if s is not None:
                     for col, value in zip(kept, (a, b, s), strict=True):
                         col.append(value)
@@ -290,26 +287,58 @@ def _verify(least: float):
     return run
 
 
+def _widened(raw: bytes) -> np.ndarray:
+    """Word hashes of 32 bits, as they are stored, as numbers of 64."""
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
+
+
+def neighbours(w: np.ndarray) -> np.ndarray:
+    """Occurrence-labelled hashes of the pairs of neighbouring words."""
+    return shingles(w, 2) if len(w) > 1 else w[:0]
+
+
+def _rare(least: float, common: np.ndarray):
+    """For each node its rarest pairs of words, as many as allowed edits may break and one more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, out = batch.column("node").to_pylist(), []
+            for raw in batch.column("w").to_pylist():
+                w = _widened(raw)
+                t = np.sort(neighbours(w))
+                t = t[np.argsort(np.isin(t, common), kind="stable")]
+                out.append(t[: 2 * int(len(w) * (1 - least) + 1e-9) + 1])
+            at = np.repeat(np.arange(len(out)), [len(t) for t in out])
+            values = np.concatenate(out) if out else np.empty(0, np.uint64)
+            for k in range(0, len(at), 50_000):
+                some = at[k : k + 50_000]
+                yield pa.record_batch({"t": pa.array(values[k : k + 50_000].view(np.int64)), "node": pa.array([nodes[i] for i in some], pa.binary()), "words": batch.column("words").take(pa.array(some))})
+
+    return run
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for raw in batch.column("w").to_pylist():
+            yield pa.record_batch({"t": pa.array(neighbours(_widened(raw)).view(np.int64))})
+
+
 def buckets(nodes: DataFrame) -> DataFrame:
     """nodes: node, e (sketch) -> k, node, j, n (nodes in the bucket), first (the smallest), for buckets of two nodes or more."""
     keys = nodes.select("node", F.posexplode("e").alias("j", "k")).select("node", F.least("j", F.lit(ELEMENTS)).alias("j"), "k").select("node", "j", F.xxhash64("j", "k").alias("k"))
-    sizes = keys.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    return written(keys.join(sizes, "k"), "omh-buckets")
+    sizes = written(keys.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1"), "omh-sizes")
+    return written(join_groups(keys, sizes, ["k"], sizes.agg(F.sum("n")).first()[0] or 0, "n", ["node"]), "omh-buckets")
 
 
 def candidates(nodes: DataFrame, met: DataFrame | None = None) -> DataFrame:
-    """nodes: node, e (sketch) -> a, b: pairs of nodes, a < b, without repeats: all of small buckets, some of large ones."""
+    """nodes: node, e (sketch) -> a, b: pairs of nodes, a < b, without repeats: all of small buckets, some of large ones.
+
+    Of the large buckets that it is in, a node is linked in LINKED, those with the smallest keys, so that similar nodes choose alike.
+    """
     met = buckets(nodes) if met is None else met
-    small = met.where(F.col("n") <= SMALL)
-    large = met.where(F.col("n") > SMALL).select("node", "j", "k")
-    # In a large bucket, nodes meet again if a further element agrees.
-    sketches = nodes.select("node", "e").join(large.select("node").distinct(), "node", "left_semi")
-    after = [(F.col("j") + s) % ELEMENTS for s in range(1, AGAIN + 1)]
-    again = large.join(sketches, "node").select("node", F.explode(F.array(*(F.xxhash64("k", s, F.get("e", s)) for s in after))).alias("k"))
-    sizes2 = again.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    met2 = written(again.join(sizes2, "k"), "omh-buckets2")
-    pairs = [_all_pairs(small), _all_pairs(met2.where(F.col("n") <= SMALL)), _chained(met2.where(F.col("n") > SMALL))]
-    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
+    choice = F.row_number().over(Window.partitionBy("node").orderBy("k"))
+    chosen = met.where(F.col("n") > SMALL).withColumn("choice", choice).where(F.col("choice") <= LINKED).drop("choice")
+    return _all_pairs(met.where(F.col("n") <= SMALL)).unionByName(_chained(written(chosen, "omh-chosen"))).distinct()
 
 
 def _all_pairs(met: DataFrame) -> DataFrame:
@@ -332,20 +361,47 @@ def _chained(met: DataFrame) -> DataFrame:
     return star.unionByName(within.unionByName(between).where("b IS NOT NULL AND a <> b"))
 
 
-def across(met: DataFrame, classes: DataFrame, nodes: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """met: buckets; classes: node, class; nodes: node, words, counts -> a, b: pairs of large buckets, a < b, without repeats.
+def across(met: DataFrame, classes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """met: buckets; classes: node, class; texts: node, words, w -> a, b: pairs of nodes of large buckets, a < b, without repeats.
 
-    All pairs of nodes in different classes that their numbers and counts of words allow. A bucket is dealt out to pairs of
-    blocks of about BLOCK nodes, so no task needs all of it.
+    Every pair of nodes in different classes that may be similar, as far as their lengths and rarest pairs of words tell.
     """
-    own = nodes.select("node", "words", "counts").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    rows = met.where(F.col("n") > SMALL).select("k", "node", "n").join(own, "node")
-    mixed = rows.groupBy("k").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("k")
+    own = texts.join(met.where(F.col("n") > SMALL).select("node").distinct(), "node", "left_semi").join(classes, "node", "left")
+    own = written(own.select("node", "words", "w", F.coalesce("class", "node").alias("class")), "omh-large")
+    some, n_classes = own.agg(F.count("*"), F.countDistinct("class")).first()
+    if n_classes < 2:
+        return own.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
+    known = own.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, KNOWN / some)))
+    # At most 1 / COMMON pairs for each word of a text are common.
+    seen = known.select("w").mapInArrow(_neighbours, "t long").groupBy("t").count().where(F.col("count") >= max(4, COMMON * min(some, KNOWN)))
+    common = np.array([r["t"] for r in seen.select("t").collect()], np.int64).view(np.uint64)
+    rare = written(own.select("node", "words", "w").mapInArrow(_rare(least, common), "t long, node binary, words int"), "omh-rare")
+    sizes = written(rare.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "omh-rare-sizes")
+    meet = join_groups(rare, sizes, ["t"], sizes.agg(F.sum("n")).first()[0] or 0, "n", ["node"])
+    meet = written(meet.join(own.select("node", "class"), "node"), "omh-meet")
+    few = meet.where(F.col("n") <= MEETING).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("node", "class", "words"))).alias("g"))
+    left = few.select("g", F.posexplode("g").alias("p", "a")).select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"))
+    top, low = F.greatest("a.words", "b.words"), F.least("a.words", "b.words")
+    near = left.where((F.col("a.class") != F.col("b.class")) & (top - low <= F.floor(top * F.lit(1 - least) + F.lit(1e-9)))).select("a.node", F.col("b.node").alias("b"))
+    return near.toDF("a", "b").unionByName(_blocks(meet.where(F.col("n") > MEETING), texts, least)).distinct()
+
+
+def _blocks(meet: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """meet: t, node, class, words, n -> a, b. Where many nodes meet they are dealt out to pairs of blocks of about BLOCK nodes, so no task needs all."""
+    mixed = meet.groupBy("t").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("t")
+    rows = meet.join(mixed, "t")
+    counted = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "w").mapInArrow(_counted, "node binary, counts binary")
     blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.join(mixed, "k").withColumn("p", F.pmod(F.xxhash64("node"), blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.join(counted, "node").withColumn("p", F.pmod(F.xxhash64("node"), blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     item = F.struct("node", "class", "words", "counts", "p")
-    dealt = rows.groupBy("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.collect_list(item).alias("g"))
-    return dealt.select("i", "j", "g").mapInArrow(_allowed(least), "a binary, b binary").distinct()
+    dealt = rows.groupBy("t", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.collect_list(item).alias("g"))
+    return dealt.select("i", "j", "g").mapInArrow(_allowed(least), "a binary, b binary")
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [word_counts(_widened(raw)).tobytes() for raw in batch.column("w").to_pylist()]
+        yield pa.record_batch({"node": batch.column("node"), "counts": pa.array(counts, pa.binary())})
 
 
 def _allowed(least: float):
@@ -375,7 +431,7 @@ def _allowed(least: float):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b -> node, class (the smallest node that is linked with it), for all nodes of edges.
 
     Every round, nodes point to their smallest neighbour and follow the pointers, in doubling steps, to one that points to
@@ -384,7 +440,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     left = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(left.groupBy(F.col("a").alias("node")).agg(F.first("a").alias("class")), "labels")
-    for _ in range(rounds):
+    while True:
         if not left.limit(1).count():
             # Labels are smallest nodes of their parts already, as each step goes to a smaller neighbour.
             return labels
@@ -398,16 +454,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         labels = written(labels.join(of("class"), "class", "left").select("node", F.coalesce("class2", "class").alias("class")), "labels")
         moved = left.join(of("a"), "a").join(of("b"), "b").where("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
         left = written(moved.distinct(), "links")
-    raise RuntimeError(f"classes did not settle in {rounds} rounds")
 
 
-def _links(base: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs that alignment verifies: a, b, similarity."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", F.coalesce("id", F.lit(-1)).alias("rep")), "node")
-    texts = base.withColumn("rep", F.coalesce("id", F.lit(-1))).join(wanted, ["node", "rep"], "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = written(texts, "omh-texts")
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return written(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, similarity double"), "omh-links")
+def _links(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """texts: node, words, w; pairs: a, b -> those that alignment verifies: a, b, similarity. A node with many partners is dealt out."""
+    total = pairs.count()
+    for end, words in (("a", "x"), ("b", "y")):
+        partners = pairs.groupBy(end).agg(F.count("*").alias("n"))
+        own = partners.join(texts.select(F.col("node").alias(end), F.col("w").alias(words)), end)
+        pairs = join_groups(pairs, own, [end], total, "n", ["a", "b"]).drop("n")
+    return written(pairs.select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, similarity double"), "omh-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -420,34 +476,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null identifiers as larger than any other, and of rows equal in identifier and text one is kept. An empty table gives an
     empty result; columns beside the two named ones are ignored.
     """
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
-    rows = written(base.mapInArrow(_sketches(least), "id long, node binary, e array<bigint>, words int, counts binary"), "omh-sketches")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("e"), F.col("words"), F.col("counts"))).alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.e", "m.words", "m.counts", "copies"), "omh-nodes")
-    searched = nodes.where(F.size("e") > 0)
+    t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
+    rows = written(base.mapInArrow(_sketches(least), "id long, node binary, e array<bigint>, words int, w binary").withColumn("at", F.monotonically_increasing_id()), "omh-sketches")
+    # A node's sketch and words are read from the row that stands for it.
+    stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
+    nodes = written(rows.groupBy("node").agg(stands.alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.at", "copies"), "omh-nodes")
+    searched = written(rows.where("words > 0").join(nodes.select("node", "at"), ["node", "at"], "left_semi").select("node", "e", "words"), "omh-searched")
     met = buckets(searched.select("node", "e"))
+    texts = rows.where("words > 0").join(nodes.select("node", "at"), ["node", "at"], "left_semi").join(met.select("node").distinct(), "node", "left_semi")
+    texts = written(texts.select("node", "words", "w"), "omh-texts")
     pairs = written(candidates(searched.select("node", "e"), met), "omh-pairs")
-    links = _links(base, nodes, pairs, least)
+    links = _links(texts, pairs, least)
     classes = components(links)
-    more = written(across(met, classes, searched, least).join(pairs, ["a", "b"], "left_anti"), "omh-pairs")
-    if more.limit(1).count():
-        links = links.unionByName(_links(base, nodes, more, least))
-        classes = components(links)
+    if met.where(F.col("n") > SMALL).limit(1).count():
+        more = written(across(met, classes, texts, least).join(pairs, ["a", "b"], "left_anti"), "omh-pairs")
+        if more.limit(1).count():
+            links = links.unionByName(_links(texts, more, least))
+            classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    member = written(nodes.select("node", "none", "id", "copies").join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-members")
+    member = written(nodes.join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-members")
     tops = member.groupBy("class").agg(F.min(F.struct("none", "id", "node")).alias("m"), F.sum("copies").alias("class_size"))
-    per_node = member.join(tops, "class").select("node", F.col("m.id").alias("class_id"), F.col("m.node").alias("top"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    # One row stays of rows that are equal in identifier and text.
-    own = rows.select("id", "node").withColumn("at", F.monotonically_increasing_id())
-    own = written(own, "omh-rows")
-    stays = own.join(per_node.where("node = top").select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("at"))).alias("s")).select("node", F.col("s.at").alias("at"), F.lit(True).alias("stay"))
-    out = own.join(per_node, "node").join(stays, ["node", "at"], "left")
-    return out.select("id", "node", "class_id", "class_size", "n_links", F.coalesce("stay", F.lit(False)).alias("kept"))
+    # A class may hold a third of all nodes, a node a third of all rows.
+    sized = member.groupBy("class").agg(F.count("*").alias("members")).join(tops, "class")
+    per_node = join_groups(member, sized, ["class"], _total(nodes, "1"), "members", ["node"])
+    per_node = written(per_node.select("node", "at", "copies", F.col("m.id").alias("class_id"), (F.col("m.node") == F.col("node")).alias("top"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "omh-classes")
+    out = join_groups(rows.select("id", "node", F.col("at").alias("row")), per_node, ["node"], _total(nodes, "copies"), "copies", ["row"])
+    return out.select("id", "node", "class_id", "class_size", "n_links", (F.col("top") & (F.col("row") == F.col("at"))).alias("kept"))
+
+
+def _total(df: DataFrame, what: str) -> int:
+    return df.agg(F.expr(f"sum({what})")).first()[0] or 0
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
-    """docs with one row of each class of near-duplicates; texts without words all stay but for repeated rows."""
-    found = near_duplicates(docs, id_col, text_col, least).where("kept").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
-    mine = docs.withColumn("_n", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    out = mine.join(found, (F.col("_n") == F.col("_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return out.dropDuplicates([id_col, "_n"]).drop("_n")
+    """docs, with all columns whatever their names, with one row of each class of near-duplicates; texts without words all stay but for copies.
+
+    Of rows that are equal in identifier and text one stays, whichever; see near_duplicates() for nulls and ties.
+    """
+    found = near_duplicates(docs, id_col, text_col, least).where("kept").select("id", "node")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    mine = docs.select(row, F.col(f"`{id_col}`").cast("long").alias("_id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).alias("_node"))
+    out = mine.join(found, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("id")), "left_semi")
+    return out.dropDuplicates(["_id", "_node"]).select("_row.*")
