@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators.scans import join_groups
+
 from .common import new_folder, written
 
 #: Field names of a record line, in a file description record and by version.
@@ -32,7 +34,8 @@ STEP = 1 << 20
 #: An Arrow batch to Spark holds about so many bytes.
 BATCH = 8 << 20
 
-ARC_SCHEMA = "file string, seq long, version int, url string, ip string, date string, mime string, status string, key string, payload binary, digest string"
+#: head: the status line and headers of an HTTP message, with the blank line; null for other records. error: why a file can't be read on.
+ARC_SCHEMA = "file string, seq long, version int, url string, ip string, date string, mime string, status string, key string, head binary, payload binary, digest string, error string"
 WARC_SCHEMA = "file string, seq long, record_id string, warc_type string, date string, uri string, key string, refers_to string, length long, declared string, computed string"
 
 
@@ -153,42 +156,64 @@ class _Bytes:
 
 
 def parse_arc(raw: bytes) -> Iterator[dict]:
-    """The records after the file description, whose version tells what a record line holds."""
-    data, version = _Bytes(raw), 1
-    while (line := data.line()) is not None:
-        if not line.strip():
-            continue
-        parts = line.rstrip(b"\r").split(b" ")
-        block = data.read(int(parts[-1]))
-        if parts[0].startswith(b"filedesc:"):
-            version = int(block.split(b" ", 1)[0])
-            continue
-        text = [p.decode("utf-8", "replace") for p in parts]
-        yield {"version": version, "url": text[0], "ip": text[1], "date": text[2], "mime": text[3], "status": text[4] if version == 2 else None, "block": block}
+    """The records after the file description, whose version and list of fields tell what a record line holds.
 
-
-def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
-    """Header names in lower case, payload. A block that is no HTTP message is payload as a whole."""
+    A line or length that can't be read, or a block that ends early, gives a last record with an error: where the next one
+    would begin is not known.
+    """
+    data, version, names = _Bytes(raw), 1, FIELDS[1].split()
+    try:
+        while (line := data.line()) is not None:
+            if not line.strip():
+                continue
+            parts = line.rstrip(b"\r").split(b" ")
+            if not parts[-1].isdigit():
+                raise ValueError(f"no length in {line[:80]!r}")
+            block = data.read(int(parts[-1]))
+            if len(block) < int(parts[-1]):
+                raise ValueError(f"{len(block)} of {int(parts[-1])} bytes")
+            if parts[0].startswith(b"filedesc:"):
+                first, _, rest = block.partition(b"\n")
+                version = int(first.split(b" ", 1)[0])
+                listed = rest.partition(b"\n")[0].decode("latin-1").split()
+                names = listed or FIELDS.get(version, FIELDS[1]).split()
+                continue
+            # A type may hold spaces; fields before it are counted from the left, those after it from the right.
+            text = [p.decode("utf-8", "replace") for p in parts]
+            if len(text) < len(names):
+                raise ValueError(f"{len(text)} fields, not {len(names)}")
+            after = len(names) - 4
+            text = [*text[:3], " ".join(text[3 : len(text) - after]), *text[len(text) - after :]]
+            field = dict(zip([n.lower() for n in names], text, strict=True))
+            yield {"version": version, "url": text[0], "ip": text[1], "date": text[2], "mime": text[3], "status": field.get("result-code"), "block": block, "error": None}
+    except (ValueError, zlib.error) as e:
+        yield {"version": version, "url": None, "ip": None, "date": None, "mime": None, "status": None, "block": b"", "error": str(e)}
+
+
+def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes | None]:
+    """Header names in lower case, payload, and the head without the key that http_block() puts in. A block that is no HTTP message is payload as a whole."""
     if not block.startswith(b"HTTP/"):
-        return {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    pairs = (x.split(b":", 1) for x in head.split(b"\r\n")[1:] if b":" in x)
-    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, v in pairs}, payload
+        return {}, block, None
+    head, between, payload = block.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    pairs = (x.split(b":", 1) for x in lines[1:] if b":" in x)
+    own = b"\r\n".join(x for x in lines if not x.lower().startswith(b"x-page-key:"))
+    return {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace") for k, v in pairs}, payload, own + between
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """ARC_SCHEMA: a row for each record of the ARC files in a folder."""
-    schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("status", pa.string()), ("key", pa.string()), ("payload", pa.binary()), ("digest", pa.string())])
+    """ARC_SCHEMA: a row for each record of the ARC files in a folder, and one with an error for each file that is damaged, at its end."""
+    schema = pa.schema([("file", pa.string()), ("seq", pa.int64()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("status", pa.string()), ("key", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("error", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for k in range(batch.num_rows):
                 name = batch.column("path")[k].as_py().rpartition("/")[2]
                 for seq, r in enumerate(parse_arc(batch.column("content")[k].as_py())):
-                    headers, payload = split_http(r["block"])
-                    yield name, seq, r["version"], r["url"], r["ip"], r["date"], r["mime"], r["status"], headers.get("x-page-key"), payload, digest_of(payload)
+                    headers, payload, head = split_http(r["block"])
+                    yield name, seq, r["version"], r["url"], r["ip"], r["date"], r["mime"], r["status"], headers.get("x-page-key"), head, payload, digest_of(payload), r["error"]
 
-    return _files(spark, path).mapInArrow(lambda b: _to_batches(rows(b), schema, 9), ARC_SCHEMA)
+    return _files(spark, path).mapInArrow(lambda b: _to_batches(rows(b), schema, 10), ARC_SCHEMA)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -210,14 +235,14 @@ def warc_date(arc_date: str) -> str:
         return "1970-01-01T00:00:00Z"
 
 
-def warc_record(kind: str, rid: str, date: str, uri: str, ip: str | None, digest: str, key: str | None, block: bytes, payload_length: int, first: tuple[str, str] | None = None) -> bytes:
+def warc_record(kind: str, rid: str, date: str, uri: str, ip: str | None, digest: str, key: str | None, block: bytes, payload_length: int, first: tuple[str, str] | None = None, mime: str = "application/http; msgtype=response") -> bytes:
     """A record without the two line ends that end it. first: id and key of the record that a revisit refers to."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {rid}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-IP-Address: {ip or '0.0.0.0'}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{digest_of(block)}", f"X-Payload-Length: {payload_length}"]
     if key is not None:
         head.append(f"X-Page-Key: {key}")
     if first:
         head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {first[0]}", *([f"X-Refers-To-Key: {first[1]}"] if first[1] is not None else [])]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    head += [f"Content-Type: {mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join([*head, "", ""]).encode("utf-8", "replace") + block
 
 
@@ -226,12 +251,14 @@ def convert(arc: DataFrame, path: str, least: int = 0) -> None:
 
     Of records with equal payloads of least bytes or more, that with the smallest key (as a number; null last, then
     by file and place) is a response and the others revisit it. Which it is is found from digests alone; payloads are
-    joined with it once.
+    joined with it once. HTTP messages keep their status and headers; other records become resources with their own type. A
+    revisit's block is its message's head. Rows with an error are left out.
     """
+    arc = arc.where("error IS NULL")
     small = written(arc.select("file", "seq", "key", "url", "date", "digest", F.octet_length("payload").alias("n")), "arc-index")
     order = F.struct(F.col("key").isNull(), F.col("key").try_cast("long"), "key", "file", "seq", "url", "date")
     firsts = small.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min(order).alias("f"), F.count("*").alias("c")).where("c > 1")
-    others = small.join(firsts, ["digest", "n"]).where(~((F.col("file") == F.col("f.file")) & (F.col("seq") == F.col("f.seq"))))
+    others = join_groups(small, firsts, ["digest", "n"], small.count(), "c", ["file", "seq"]).where(~((F.col("file") == F.col("f.file")) & (F.col("seq") == F.col("f.seq"))))
     revisits = others.select(F.col("file"), F.col("seq"), F.struct("f.key", "f.url", "f.date", "digest", "f.file", "f.seq").alias("f"))
     schema = _VALUE
 
@@ -240,14 +267,16 @@ def convert(arc: DataFrame, path: str, least: int = 0) -> None:
             for r in batch.to_pylist():
                 date, n = warc_date(r["date"]), len(r["payload"])
                 rid = record_id(r["url"], r["date"], r["digest"], r["key"], r["file"], str(r["seq"]))
+                http = r["head"] is not None
                 if f := r["f"]:
-                    yield (warc_record("revisit", rid, date, r["url"], r["ip"], r["digest"], r["key"], b"", n, (record_id(f["url"], f["date"], f["digest"], f["key"], f["file"], str(f["seq"])), f["key"])),)
+                    yield (warc_record("revisit", rid, date, r["url"], r["ip"], r["digest"], r["key"], r["head"] or b"", n, (record_id(f["url"], f["date"], f["digest"], f["key"], f["file"], str(f["seq"])), f["key"])),)
+                elif http:
+                    yield (warc_record("response", rid, date, r["url"], r["ip"], r["digest"], r["key"], r["head"] + r["payload"], n),)
                 else:
-                    block = b"HTTP/1.1 200 OK\r\nContent-Type: " + r["mime"].encode() + b"\r\nContent-Length: %d\r\n\r\n" % n + r["payload"]
-                    yield (warc_record("response", rid, date, r["url"], r["ip"], r["digest"], r["key"], block, n),)
+                    yield (warc_record("resource", rid, date, r["url"], r["ip"], r["digest"], r["key"], r["payload"], n, mime=_line(r["mime"]).decode()),)
 
     joined = arc.join(revisits, ["file", "seq"], "left")
-    out = joined.select("url", "ip", "date", "mime", "key", "payload", "digest", "file", "seq", "f").mapInArrow(lambda b: _to_batches(records(b), schema, 0), "value binary")
+    out = joined.select("url", "ip", "date", "mime", "key", "head", "payload", "digest", "file", "seq", "f").mapInArrow(lambda b: _to_batches(records(b), schema, 0), "value binary")
     out.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 

@@ -89,11 +89,26 @@ def votes_of(low: str, words: list[str], groups: list[frozenset[str]], everythin
 PATTERNS = ["several", "dense", "address", "masked", "shouting"]
 
 
+def _expected(corr: np.ndarray, free: np.ndarray) -> np.ndarray:
+    """For each pair (i, j) the median, over other voters k and l, of c(i, k) c(j, l) / c(k, l): its correlation, if all are independent given the label."""
+    m = len(corr)
+    out = corr.copy()
+    usable = free & (corr > 0.05)
+    for i in range(m):
+        for j in range(i + 1, m):
+            k, l = np.nonzero(usable & free[i][:, None] & free[j][None, :])
+            ok = (k != j) & (l != i)
+            if free[i, j] and ok.any():
+                k, l = k[ok], l[ok]
+                out[i, j] = out[j, i] = np.median(corr[i, k] * corr[j, l] / corr[k, l])
+    return out
+
+
 def fit_label_model(moments: np.ndarray, total: int, prior: float) -> tuple[np.ndarray, float, np.ndarray, list[tuple[int, int, float]]]:
     """moments: summed outer products of votes, the sums themselves on the diagonal -> weights, bias, accuracies, correlations.
 
     cov(i, j) = prior (1 - prior) d_i d_j for voters that are independent given the label, with d = P(1 | toxic) -
-    P(1 | clean). The vector is fitted on pairs not yet called correlated; pairs left with a large residual are.
+    P(1 | clean). Pairs far from what that lets expect are correlated; the vector is fitted on all others.
     """
     mean = np.diag(moments) / max(total, 1)
     cov = moments / max(total, 1) - np.outer(mean, mean)
@@ -106,20 +121,20 @@ def fit_label_model(moments: np.ndarray, total: int, prior: float) -> tuple[np.n
     free &= np.outer(live, live)
     a = np.full(m, 0.5) * live
     pairs: set[tuple[int, int]] = set()
-    # Each time round one pair is called correlated and the rest is fitted anew, until no residual stands out or too few pairs
-    # are left to tell the accuracies from.
-    while True:
-        for _ in range(200):
-            for i in range(m):
-                w = free[i] * 1.0
-                den = (w * a * a).sum()
-                a[i] = np.clip((w * corr[i] * a).sum() / den, 0.0, 0.98) if den > 1e-9 and live[i] else 0.0
-        rest = np.abs(corr - np.outer(a, a)) * free
+    # The pair that stands out most from what other voters let expect is called correlated, until none does or too few pairs are
+    # left to tell accuracies from. Expectations are medians, which a few correlated pairs don't move.
+    while free.sum() > 2 * m:
+        rest = np.abs(corr - _expected(corr, free)) * free
         k = np.unravel_index(rest.argmax(), rest.shape)
-        if rest[k] < CORRELATED or free.sum() <= 2 * m:
+        if rest[k] < CORRELATED:
             break
         free[k] = free[k[::-1]] = False
         pairs.add((int(min(k)), int(max(k))))
+    for _ in range(200):
+        for i in range(m):
+            w = free[i] * 1.0
+            den = (w * a * a).sum()
+            a[i] = np.clip((w * corr[i] * a).sum() / den, 0.0, 0.98) if den > 1e-9 and live[i] else 0.0
     found = [(i, j, float(corr[i, j] - a[i] * a[j])) for i, j in sorted(pairs)]
     var = max(prior * (1 - prior), 1e-6)
     d = a * sd / np.sqrt(var)
