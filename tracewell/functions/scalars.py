@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 FILETIME_EPOCH = 116444736000000000
 
 
+def whole(a: Column, b: Column | int) -> Column:
+    """a / b rounded down, in integers, for b above 0: exact beyond 2^53."""
+    b = F.lit(b) if isinstance(b, int) else b
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def filetime(ft: Column) -> Column:
     """A timestamp; null for 0 and for the largest value."""
-    return F.when((ft > 0) & (ft < 9223372036854775807), F.timestamp_micros(F.floor((ft - FILETIME_EPOCH) / 10)))
+    return F.when((ft > 0) & (ft < 9223372036854775807), F.timestamp_micros(whole(ft - FILETIME_EPOCH, 10)))
 
 
 def iso(ts: Column) -> Column:
     return F.when(F.year(ts) <= 9999, F.date_format(ts, "yyyy-MM-dd HH:mm:ss 'UTC'"))
 
 
+#: Names of units, by base.
+UNITS = {1000: ("B", "KB", "MB", "GB", "TB"), 1024: ("B", "KiB", "MiB", "GiB", "TiB")}
+
+
 def size_text(n: Column, base: int, places: int) -> Column:
-    units = ["B", "KB", "MB", "GB", "TB"]
+    """A number of bytes in the largest unit that leaves one or more, rounded to places; whole bytes below the first unit."""
+    units = UNITS[base]
     out = F.format_string(f"%.{places}f {units[-1]}", n / float(base ** (len(units) - 1)))
     for k in range(len(units) - 2, 0, -1):
         out = F.when(n < base ** (k + 1), F.format_string(f"%.{places}f {units[k]}", n / float(base**k))).otherwise(out)

@@ -63,9 +63,26 @@ PARTITION_TYPES = {
 }
 
 
-def relation(spark: SparkSession, name: str, paths: Sequence[str]) -> DataFrame:
+def relation(spark: SparkSession, name: str, paths: Sequence[str], ranges: Sequence[Sequence] | None = None) -> DataFrame:
     spark.dataSource.register(EvidenceSource)
-    return spark.read.format("evidence").option("relation", name).option("paths", json.dumps(list(paths))).load()
+    read = spark.read.format("evidence").option("relation", name).option("paths", json.dumps(list(paths)))
+    return (read if ranges is None else read.option("ranges", json.dumps([list(r) for r in ranges]))).load()
+
+
+def ranges(spark: SparkSession, paths: Sequence[str]) -> list[tuple]:
+    """What the large relations scan, found by a task for each image: a row for 262,144 records of a file table, or 64 groups of an ext volume.
+
+    An image that can't be read has a row of every kind with its error.
+    """
+    found = relation(spark, "ranges", paths)
+    kinds = F.explode(F.when(F.col("kind").isNull(), F.array(F.lit("mft"), F.lit("ext"))).otherwise(F.array("kind")))
+    rows = found.select("image", kinds.alias("kind"), F.coalesce("volume", F.lit(0)).alias("volume"), "first", "last", "place", "error")
+    return [tuple(r) for r in rows.orderBy("image", "kind", "volume", "first").collect()]
+
+
+def large(spark: SparkSession, name: str, paths: Sequence[str], known: list[tuple] | None = None) -> DataFrame:
+    """A large relation (mft, inodes, entries), scanned in ranges that tasks have found before."""
+    return relation(spark, name, paths, ranges(spark, paths) if known is None else known)
 
 
 def file_system(head: Column, far: Column) -> Column:
@@ -102,17 +119,18 @@ def volumes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def chunks(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Every stored chunk of EWF images: its number, its place in the media and its place in a segment file.
 
-    Segments are scanned apart; the chunks before each are summed over segments, never over chunks.
+    Segments are scanned apart; the chunks before each are summed over segments, never over chunks. What can't be read is a
+    row with its error; chunks behind it keep the numbers that the chunks found before them give.
     """
     stored = relation(spark, "chunks", paths)
     info = relation(spark, "info", paths).where("chunk_size IS NOT NULL").select("image", "size", "chunk_size")
     upto = Window.partitionBy("image").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored.groupBy("image", "segment").agg(F.count("in_segment").alias("n"))
     base = counts.select("image", "segment", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
-    out = stored.where("error IS NULL").join(base, ["image", "segment"]).join(info, "image")
+    out = stored.join(base, ["image", "segment"]).join(info, "image", "left")
     out = out.withColumn("chunk", F.col("before") + F.col("in_segment")).withColumn("media_offset", F.col("chunk") * F.col("chunk_size"))
     length = F.greatest(F.lit(0), F.least(F.col("chunk_size").cast("long"), F.col("size") - F.col("media_offset")))
-    return out.select("image", "chunk", "media_offset", length.alias("media_length"), "segment", "path", "file_offset", "stored", "packed")
+    return out.select("image", "chunk", "media_offset", F.when(F.col("error").isNull(), length).alias("media_length"), "segment", "path", "file_offset", "stored", "packed", "error")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +157,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def decoded(chunk_rows: DataFrame) -> DataFrame:
     """chunks() with their bytes; those that can't be read are zeros and have a damage."""
-    return chunk_rows.mapInArrow(_decode, "image string, chunk long, media_offset long, data binary, damage string")
+    return chunk_rows.where("error IS NULL AND media_length IS NOT NULL").mapInArrow(_decode, "image string, chunk long, media_offset long, data binary, damage string")
 
 
 def damage(chunk_rows: DataFrame) -> DataFrame:

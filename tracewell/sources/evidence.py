@@ -5,12 +5,16 @@
 
 Paths must be readable on every executor. Each image, or each segment for relations of segments, is a partition. An image that
 can't be read gives one row with its error, and the job goes on.
+
+The large relations, mft (file tables of NTFS volumes), inodes and entries (of ext volumes), are scanned in ranges. Option "ranges"
+has them, as plans.evidence.ranges() finds them in a scan of its own; without it the driver looks into each image.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import hives, images, mft
+from . import ext, hives, images, mft, ntfs
 
 #: Partition types that hold further partitions.
 EXTENDED = (0x05, 0x0F, 0x85)
@@ -113,15 +117,10 @@ def _sections(path: str) -> Iterator[tuple]:
 
 
 def _logins(path: str) -> Iterator[tuple]:
-    """Records are counted from the end of the file, as its beginning may have been cut off."""
     size = os.path.getsize(path)
-    n = min(size, LOGIN_TAIL) // LOGIN
     with open(path, "rb") as f:
-        f.seek(size - n * LOGIN)
-        for k in range(n):
-            r = f.read(LOGIN)
-            user = r[44:76].partition(b"\0")[0].decode("utf-8", "replace")
-            yield k, struct.unpack_from("<h", r)[0], user, struct.unpack_from("<i", r, 340)[0], None
+        f.seek(max(0, size - LOGIN_TAIL))
+        yield from ((*r, None) for r in _login_records(f.read()))
 
 
 def _registry(path: str) -> Iterator[tuple]:
@@ -129,6 +128,191 @@ def _registry(path: str) -> Iterator[tuple]:
         yield from ((*r, None) for r in hives.rows(f.read()))
 
 
+# The folder of a Windows volume's hives, and the keys that triage reads of each, in lower case, as patterns.
+HIVE_FOLDER = "\\Windows\\System32\\config\\"
+_SET = r"controlset\d{3}"
+HIVE_KEYS = {
+    "SYSTEM": rf"select|hardwareconfig(\\[^\\]+)?|{_SET}|{_SET}\\control\\(computername\\computername|timezoneinformation|windows|systeminformation|session manager\\environment)|{_SET}\\services\\tcpip\\parameters(\\interfaces(\\[^\\]+)?)?",
+    "SOFTWARE": r"microsoft\\windows nt\\currentversion(\\profilelist(\\[^\\]+)?)?",
+    "SAM": r"sam\\domains\\account\\users(\\.+)?",
+    "NTUSER.DAT": r"software\\microsoft\\windows\\currentversion\\explorer\\recentdocs",
+}
+#: Most bytes of a hive.
+HIVE_MOST = 256 << 20
+
+
+def in_volume(path: str) -> str:
+    """A path inside its volume: without a drive, or a variable in front, or a slash at its end."""
+    if ":" in path:
+        path = path.partition(":")[2]
+    elif path.startswith("%") and path.count("%") > 1:
+        path = path.split("%", 2)[2]
+    return path.rstrip("\\")
+
+
+def _systems(path: str, mark: int, magic: bytes) -> Iterator[tuple]:
+    """(image, volume, offset) of the volumes that have magic at mark."""
+    found = [(r[1], r[4]) for r in _partitions(path) if r[9] is not None and r[9][mark : mark + len(magic)] == magic and r[5]]
+    image = images.open_image(path) if found else None
+    try:
+        for volume, offset in found:
+            yield image, volume, offset
+    finally:
+        if image:
+            image.close()
+
+
+def _wanted(volume: int, hive: str, owner: str | None, raw: bytes) -> Iterator[tuple]:
+    pattern = re.compile(HIVE_KEYS[hive])
+    for seq, r in enumerate(hives.rows(raw)):
+        if pattern.fullmatch(r[0].lower()):
+            yield volume, hive, owner, seq, *r, None
+
+
+def _hives(path: str) -> Iterator[tuple]:
+    """Keys and values of the hives of each Windows volume, and of its users' hives; a hive that can't be read is a row with its error."""
+    empty = (None,) * 9
+    for image, volume, offset in _systems(path, 3, b"NTFS    "):
+        try:
+            fs, profiles = ntfs.Volume(image, offset), []
+            # Without a SYSTEM hive the volume is no Windows system.
+            if fs.find(HIVE_FOLDER + "SYSTEM") is None:
+                continue
+            for hive in ("SYSTEM", "SOFTWARE", "SAM"):
+                try:
+                    raw = fs.file(HIVE_FOLDER + hive, HIVE_MOST)
+                    for row in _wanted(volume, hive, None, raw) if raw is not None else ():
+                        yield row
+                        if hive == "SOFTWARE" and (row[6] or "").lower() == "profileimagepath" and row[8]:
+                            profiles.append(row[8])
+                    if raw is not None:
+                        yield volume, hive, None, -1, *empty[:8], None
+                except ntfs.BadFile as e:
+                    yield volume, hive, None, *empty, f"unreadable: {e}"
+                except hives.BadHive as e:
+                    yield volume, hive, None, *empty, f"damaged: {e}"
+            for profile in dict.fromkeys(profiles):
+                try:
+                    raw = fs.file(in_volume(profile) + "\\NTUSER.DAT", HIVE_MOST)
+                    yield from _wanted(volume, "NTUSER.DAT", profile, raw) if raw else ()
+                except (ntfs.BadFile, hives.BadHive):
+                    continue
+        except _ERRORS as e:
+            yield volume, None, None, *empty, f"NTFS: {e}"
+
+
+# The text files, links and folders of a Linux volume that triage reads.
+LINUX_TEXTS = ["/etc/os-release", "/usr/lib/os-release", "/etc/lsb-release", "/etc/redhat-release", "/etc/debian_version", "/etc/hostname", "/etc/timezone", "/etc/passwd", "/sys/class/dmi/id/sys_vendor"]
+LINUX_LINKS, LINUX_FOLDERS = ["/etc/localtime"], ["/boot"]
+#: Most bytes of a text.
+TEXT_MOST = 1 << 20
+
+
+def _each(path: str, magic: tuple[int, bytes], width: int, rows: Callable) -> Iterator[tuple]:
+    """rows(volume, file system) of each ext volume; one that can't be read is a row with its error, and the next one goes on."""
+    for image, volume, offset in _systems(path, *magic):
+        try:
+            yield from rows(volume, ext.Volume(image, offset))
+        except _ERRORS as e:
+            yield volume, *[None] * (width - 2), f"ext: {e}"
+
+
+_EXT = (1080, b"\x53\xef")
+
+
+def _is_linux(fs: ext.Volume) -> bool:
+    return fs.find("/etc") is not None and (fs.find("/etc/os-release") is not None or fs.find("/etc/passwd") is not None)
+
+
+def _ext_info(path: str) -> Iterator[tuple]:
+    def rows(volume: int, fs: ext.Volume) -> Iterator[tuple]:
+        yield volume, fs.label, fs.mounted_at, fs.mounted, fs.written, fs.size, fs.block, fs.inodes, _is_linux(fs), None
+
+    yield from _each(path, _EXT, 10, rows)
+
+
+def _linux_texts(path: str) -> Iterator[tuple]:
+    def rows(volume: int, fs: ext.Volume) -> Iterator[tuple]:
+        if not _is_linux(fs):
+            return
+        for name in LINUX_TEXTS:
+            text = (fs.file(name, TEXT_MOST) or b"").decode("utf-8", "replace")
+            for k, line in enumerate(text.splitlines()):
+                yield volume, name, "line", k, line, None
+        for name in LINUX_LINKS:
+            if (target := fs.target(name)) is not None:
+                yield volume, name, "target", 0, target, None
+        for name in LINUX_FOLDERS:
+            node = fs.find(name)
+            if node is not None and node.is_a(ext.FOLDER):
+                for k, (entry, _, _) in enumerate(fs.entries(node)):
+                    yield volume, name, "entry", k, entry, None
+
+    yield from _each(path, _EXT, 6, rows)
+
+
+def _linux_logins(path: str) -> Iterator[tuple]:
+    def rows(volume: int, fs: ext.Volume) -> Iterator[tuple]:
+        node = fs.find("/var/log/wtmp") if _is_linux(fs) else None
+        if node is not None and node.is_a(ext.FILE):
+            raw = fs.tail(node, LOGIN_TAIL)
+            yield from ((volume, *r, None) for r in _login_records(raw))
+
+    yield from _each(path, _EXT, 6, rows)
+
+
+def _login_records(raw: bytes) -> Iterator[tuple]:
+    """Records are counted from the end, as the beginning may have been cut off."""
+    for k, at in enumerate(range(len(raw) % LOGIN, len(raw), LOGIN)):
+        user = raw[at + 44 : at + 76].partition(b"\0")[0].decode("utf-8", "replace")
+        yield k, struct.unpack_from("<h", raw, at)[0], user, struct.unpack_from("<i", raw, at + 340)[0]
+
+
+#: Groups of an ext volume in a range.
+GROUPS = 64
+
+
+def _ranges_of(path: str) -> Iterator[tuple]:
+    """What the large relations scan: ranges of records of file tables, ranges of groups of ext volumes, or why there are none."""
+    for image, volume, offset in _systems(path, 3, b"NTFS    "):
+        try:
+            t = ntfs.Volume(image, offset).table
+        except _ERRORS as e:
+            yield "mft", volume, None, None, None, f"{type(e).__name__}: {e}"
+            continue
+        for k in range(0, t.count, mft.PER_PARTITION):
+            yield "mft", volume, k, min(k + mft.PER_PARTITION, t.count), json.dumps(t), None
+    for image, volume, offset in _systems(path, *_EXT):
+        try:
+            groups = ext.Volume(image, offset).groups
+        except _ERRORS as e:
+            yield "ext", volume, None, None, None, f"{type(e).__name__}: {e}"
+            continue
+        for k in range(0, groups, GROUPS):
+            yield "ext", volume, k, min(k + GROUPS, groups), json.dumps(offset), None
+
+
+_INODES = "image string, volume int, number long, mode int, uid int, size long, atime long, ctime long, mtime long, dtime long, links int, flags long, error string"
+_ENTRIES = "image string, volume int, parent long, name string, child long, ftype int, error string"
+
+
+def _scan_ext(relation: str, image: str, volume: int, offset: int, first: int, last: int) -> Iterator[tuple]:
+    opened = images.open_image(image)
+    try:
+        fs = ext.Volume(opened, offset)
+        for group in range(first, last):
+            for inode in fs.group(group):
+                if relation == "inodes":
+                    yield image, volume, *inode[:10], None
+                elif inode.is_a(ext.FOLDER):
+                    try:
+                        yield from ((image, volume, inode.number, *e, None) for e in fs.entries(inode))
+                    except _ERRORS as e:
+                        yield image, volume, inode.number, None, None, None, f"{type(e).__name__}: {e}"
+    finally:
+        opened.close()
+
+
 _CHUNKS = "image string, segment int, path string, in_segment long, file_offset long, stored long, packed boolean, error string"
 
 
@@ -159,11 +343,16 @@ RELATIONS: dict[str, tuple[str, Callable[[str], Iterator[tuple]], bool]] = {
     "sections": ("seq int, kind string, offset long, size long, next long, checked boolean, error string", _sections, True),
     "registry": ("key_path string, written long, name string, type long, s string, n decimal(20,0), l array<string>, b binary, error string", _registry, False),
     "logins": ("seq long, type int, user string, sec int, error string", _logins, False),
+    "hives": ("volume int, hive string, owner string, seq int, key_path string, written long, name string, type long, s string, n decimal(20,0), l array<string>, b binary, error string", _hives, False),
+    "ext_info": ("volume int, label string, mounted_at string, mounted long, written long, size long, block_size int, inodes long, linux boolean, error string", _ext_info, False),
+    "linux_texts": ("volume int, path string, kind string, no int, text string, error string", _linux_texts, False),
+    "linux_logins": ("volume int, seq long, type int, user string, sec int, error string", _linux_logins, False),
+    "ranges": ("kind string, volume int, first long, last long, place string, error string", _ranges_of, False),
 }
 
 
 #: What a damaged image raises; each becomes a row.
-_ERRORS = (OSError, struct.error, ValueError, images.BadImage, hives.BadHive, images.zlib.error)
+_ERRORS = (OSError, struct.error, ValueError, IndexError, MemoryError, images.BadImage, hives.BadHive, images.zlib.error)
 
 
 class _Part(InputPartition):
@@ -178,34 +367,42 @@ class _Records(InputPartition):
         self.image, self.volume, self.table, self.first, self.last, self.error = image, volume, table, first, last, error
 
 
-def _ranges(path: str) -> Iterator[_Records]:
-    """Ranges of records of all NTFS volumes of an image."""
+class _Groups(InputPartition):
+    """A range of groups of one ext volume, or why there is none."""
+
+    def __init__(self, image: str, volume: int, offset: int = 0, first: int = 0, last: int = 0, error: str | None = None) -> None:
+        self.image, self.volume, self.offset, self.first, self.last, self.error = image, volume, offset, first, last, error
+
+
+def _found(path: str) -> list[tuple]:
+    """_ranges_of() with the image; an image that can't be read is a range of every kind, with its error."""
     try:
-        found = [(r[1], r[4]) for r in _partitions(path) if r[9][3:11] == b"NTFS    "]
-        image = images.open_image(path) if found else None
+        return [(path, *r) for r in _ranges_of(path)]
     except _ERRORS as e:
-        yield _Records(path, 0, None, error=f"{type(e).__name__}: {e}")
-        return
-    for volume, offset in found:
-        try:
-            t = mft.table(image, offset)
-        except _ERRORS as e:
-            yield _Records(path, volume, None, error=f"{type(e).__name__}: {e}")
-            continue
-        for k in range(0, t.count, mft.PER_PARTITION):
-            yield _Records(path, volume, t, k, min(k + mft.PER_PARTITION, t.count))
-    if image:
-        image.close()
+        return [(path, kind, 0, None, None, None, f"{type(e).__name__}: {e}") for kind in ("mft", "ext")]
+
+
+def _part(row: tuple) -> InputPartition:
+    image, kind, volume, first, last, place, error = row
+    if kind == "ext":
+        return _Groups(image, volume, error=error) if place is None else _Groups(image, volume, json.loads(place), first, last)
+    if place is None:
+        return _Records(image, volume, None, error=error)
+    *numbers, runs = json.loads(place)
+    return _Records(image, volume, mft.Table(*numbers, tuple(map(tuple, runs))), first, last)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.relation, self.paths = options["relation"], json.loads(options["paths"])
+        self.ranges = json.loads(options["ranges"]) if options.get("ranges") else None
 
     def partitions(self) -> list[InputPartition]:
-        if self.relation == "mft":
+        if self.relation in ("mft", "inodes", "entries"):
+            kind = "mft" if self.relation == "mft" else "ext"
+            found = self.ranges if self.ranges is not None else [r for p in self.paths for r in _found(p)]
             # Spark wants a partition at least.
-            return [r for p in self.paths for r in _ranges(p)] or [_Records("", 0, None)]
+            return [_part(tuple(r)) for r in found if r[1] == kind] or [_part(("", kind, 0, None, None, None, None))]
         if self.relation == "chunks":
             return [_Part(p, k, s, self._chunk_size(p)) for p in self.paths for k, s in enumerate(images.segments(p))]
         if RELATIONS[self.relation][2]:
@@ -221,27 +418,18 @@ class _Reader(DataSourceReader):
         try:
             shape = images.geometry(fd, list(images.walk(fd)))
             return shape.chunk_size if shape else 0
-        except struct.error:
+        except _ERRORS:
             return 0
         finally:
             os.close(fd)
 
     def read(self, part) -> Iterator:
-        if self.relation == "mft":
-            if part.error:
-                yield part.image, part.volume, None, None, None, None, None, None, part.error
-            elif part.table:
-                image = images.open_image(part.image)
-                try:
-                    yield from mft.scan(image, part.image, part.volume, part.table, part.first, part.last)
-                finally:
-                    image.close()
-            return
-        if self.relation == "chunks":
-            if part.chunk_size:
-                yield from _chunks(part.image, part.segment, part.path, part.chunk_size)
-            else:
-                yield part.image, part.segment, part.path, None, None, None, None, "no volume section"
+        if self.relation in ("mft", "inodes", "entries", "chunks"):
+            # What a damaged image raises, at any place of it, ends its partition with a row, and not the job.
+            try:
+                yield from self._read_large(part)
+            except _ERRORS as e:
+                yield self._lost(part, f"{type(e).__name__}: {e}")
             return
         columns, rows, of_segments = RELATIONS[self.relation]
         key = (part.image, part.segment) if of_segments else (part.image,)
@@ -253,6 +441,33 @@ class _Reader(DataSourceReader):
             yield (*key, *[None] * (n - 1), f"{type(e).__name__}: {e}")
 
 
+    def _lost(self, part, error: str) -> tuple:
+        if self.relation == "chunks":
+            return part.image, part.segment, part.path, None, None, None, None, error
+        width = {"mft": mft.COLUMNS, "inodes": _INODES, "entries": _ENTRIES}[self.relation].count(", ") + 1
+        return part.image, part.volume, *[None] * (width - 3), error
+
+    def _read_large(self, part) -> Iterator:
+        if self.relation == "chunks":
+            if part.chunk_size:
+                yield from _chunks(part.image, part.segment, part.path, part.chunk_size)
+            else:
+                # Opening the image tells why its geometry isn't known.
+                images.open_image(part.image).close()
+                raise images.BadImage("no volume section")
+        elif part.error:
+            yield self._lost(part, part.error)
+        elif self.relation == "mft":
+            if part.table:
+                image = images.open_image(part.image)
+                try:
+                    yield from mft.scan(image, part.image, part.volume, part.table, part.first, part.last)
+                finally:
+                    image.close()
+        elif part.last:
+            yield from _scan_ext(self.relation, part.image, part.volume, part.offset, part.first, part.last)
+
+
 class EvidenceSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -265,8 +480,9 @@ class EvidenceSource(DataSource):
     def schema(self) -> str:
         if self.options["relation"] == "mft":
             return mft.COLUMNS
-        if self.options["relation"] == "chunks":
-            return _CHUNKS
+        large = {"chunks": _CHUNKS, "inodes": _INODES, "entries": _ENTRIES}
+        if self.options["relation"] in large:
+            return large[self.options["relation"]]
         columns, _, of_segments = RELATIONS[self.options["relation"]]
         return f"image string, {'segment int, ' if of_segments else ''}{columns}"
 
