@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share (spark.checkpoint.dir), so that its plan ends there."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, read from the session. Only a session in one process gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tracewell/{name}-{uuid.uuid4().hex}"
+    if at:
+        return at.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    at = "file://" + tempfile.mkdtemp(prefix="tracewell-")
+    spark.conf.set("spark.checkpoint.dir", at)
+    return at
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that its plan ends there and lost executors cost no recomputation."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tracewell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
