@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars
+from .paths import cut
+from .scans import prefix_sums
+
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each group; Spark limits each group before the shuffle as well."""
@@ -25,19 +29,29 @@ def latest_by(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[str]
     return s.select(key, *(F.col(f"_m.{c}").alias(c) for c in dict.fromkeys([*order, *keep])))
 
 
-def islands(df: DataFrame, value: str, parts: int = 1 << 20) -> DataFrame:
-    """start, count of runs of consecutive distinct values.
+def islands(df: DataFrame, value: str, parts: int = 1 << 20, by: Sequence[str] = ()) -> DataFrame:
+    """by, start, count of runs of consecutive distinct values.
 
-    Values are cut into blocks, so that no task sees all of them; runs are found in each block, and runs that touch at
-    the block ends are merged.
+    Values are cut into blocks, so that no task sees all of them, and runs are found in each. A run that touches its block's
+    first or last value may go on in a neighbour: blocks have two such runs at most. A block that is full from end to end is
+    passed over by a running number of the ends before, in range partitions.
     """
-    v = df.select(F.col(value).cast("long").alias("v")).distinct().withColumn("block", F.floor(F.col("v") / parts))
-    rn = v.withColumn("g", F.col("v") - F.row_number().over(Window.partitionBy("block").orderBy("v")))
-    runs = rn.groupBy("block", "g").agg(F.min("v").alias("start"), F.max("v").alias("end"))
-    up = Window.orderBy("start")
-    new = (F.col("start") != F.coalesce(F.lag("end").over(up), F.col("start") - 2) + 1).cast("int")
-    merged = runs.withColumn("new", new).withColumn("run", F.sum("new").over(up))
-    return merged.groupBy("run").agg(F.min("start").alias("start"), (F.max("end") - F.min("start") + 1).alias("count")).drop("run")
+    block = scalars.whole(F.col("v"), parts)
+    v = df.select(*by, F.col(value).cast("long").alias("v")).distinct().withColumn("block", block)
+    rn = v.withColumn("g", F.col("v") - F.row_number().over(Window.partitionBy(*by, "block").orderBy("v")))
+    runs = cut(rn.groupBy(*by, "block", "g").agg(F.min("v").alias("start"), F.max("v").alias("end")).drop("g"), "islands")
+    first, last = F.col("block") * parts, (F.col("block") + 1) * parts - 1
+    touches = (F.col("start") == first) | (F.col("end") == last)
+    inner = runs.where(~touches).select(*by, "start", (F.col("end") - F.col("start") + 1).alias("count"))
+    edge = runs.where(touches)
+    # A run begins where no run of the block before ends right before it.
+    before = edge.where(F.col("end") == last).select(*by, (F.col("end") + 1).alias("start"), F.lit(False).alias("new"))
+    marked = edge.join(before, [*by, "start"], "left").withColumn("new", F.coalesce("new", F.lit(True)))
+    order = [*(F.col(c) for c in by), F.col("start")]
+    counted = prefix_sums(marked, order, {"begun": F.col("new").cast("long")})
+    run = F.col("begun") + F.col("new").cast("long")
+    joined = counted.withColumn("run", run).groupBy(*by, "run").agg(F.min("start").alias("start"), F.sum(F.col("end") - F.col("start") + 1).alias("count"))
+    return inner.unionByName(joined.drop("run"))
 
 
 def with_leftovers(profiles: DataFrame, accounts: DataFrame, key: str) -> DataFrame:
@@ -47,15 +61,15 @@ def with_leftovers(profiles: DataFrame, accounts: DataFrame, key: str) -> DataFr
 
 
 def running_offset(df: DataFrame, length: str, order: str, out: str = "start") -> DataFrame:
-    """Where each segment begins: the lengths before it."""
-    return df.withColumn(out, F.sum(length).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(length))
+    """Where each segment begins: the lengths before it, summed over range partitions."""
+    return prefix_sums(df, [F.col(order)], {out: F.col(length)})
 
 
 def locate(points: DataFrame, at: str, segments: DataFrame, start: str, length: str) -> DataFrame:
     """points with the segment that holds them: both sides are cut into blocks and joined on the block, then refined."""
     width = 1 << 16
-    seg = segments.where(F.col(length) > 0).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(start) + F.col(length) - 1) / width))))
-    return points.withColumn("_b", F.floor(F.col(at) / width)).join(seg, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length))).drop("_b")
+    seg = segments.where(F.col(length) > 0).withColumn("_b", F.explode(F.sequence(scalars.whole(F.col(start), width), scalars.whole(F.col(start) + F.col(length) - 1, width))))
+    return points.withColumn("_b", scalars.whole(F.col(at), width)).join(seg, "_b").where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length))).drop("_b")
 
 
 def trailing_rate(df: DataFrame, key: str, t: str, value: str, span: int) -> DataFrame:
