@@ -22,7 +22,7 @@ def _rows(df):
     return sorted((tuple(clean(v) for v in r) for r in df.where(df.notna(), None).values.tolist()), key=repr)
 
 
-@pytest.mark.parametrize("name", list(analogues.queries()))
+@pytest.mark.parametrize("name", list(analogues.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
@@ -31,3 +31,14 @@ def test_matches_sql(spark, name):
     want = con.execute(analogues.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert _rows(got) == _rows(want)
+
+
+def test_compress_ratio(spark):
+    import zlib
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in analogues.queries()["compress_ratio"](spark, SF).collect():
+        raw = texts[r.doc_id]
+        sample = raw[:1024] + raw[len(raw) // 2 : len(raw) // 2 + 1024]
+        want = len(zlib.compress(sample, 1)) / len(sample) if sample else 1.0
+        assert abs(r.ratio - want) < 1e-6 and r.stored == (want >= 0.97)

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import paths
+from ..operators import files, paths
 from ..operators import relational as rel
+from ..sinks import ewf
+from ..sources import devices
+from . import capture, health
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -69,9 +72,13 @@ def trailing_window(t) -> DataFrame:
     return rel.trailing_rate(t("events"), "user_id", "event_id", "value", 300).select("event_id", F.round("rate", 6).alias("rate"))
 
 
-@_query("SELECT page_id, url FROM pages WHERE NOT (lower(url) LIKE 'https://m.%' OR lower(url) LIKE '%#top' OR lower(url) LIKE '%ref=x')")
+_NAMES = "CASE p_partkey % 9 WHEN 0 THEN 'Desktop.INI' WHEN 1 THEN 'NTUSER.DAT.LOG' WHEN 2 THEN '~$' || p_name WHEN 3 THEN p_name || '.TMP' WHEN 4 THEN p_name || '.regtrans-ms' WHEN 5 THEN 'thumbs.db.bak' ELSE p_name || '.docx' END"
+
+
+@_query(f"SELECT p_partkey, name FROM (SELECT p_partkey, p_size, {_NAMES} AS name FROM part) WHERE p_partkey >= 24 AND p_size <> 3 AND NOT (lower(name) IN ('desktop.ini','thumbs.db','ntuser.dat','ntuser.ini','ntuser.pol','usrclass.dat','iconcache.db') OR regexp_matches(lower(name), '^(ntuser[.]dat|usrclass[.]dat|~[$]|~wr)') OR regexp_matches(lower(name), '[.](tmp|lock|log1|log2|regtrans-ms|blf|etl)$'))")
 def noise_filter(t) -> DataFrame:
-    return t("pages").where(~rel.is_noise(F.col("url"), ["about:blank"], ["https://m."], ["#top", "ref=x"])).select("page_id", "url")
+    named = t("part").select("p_partkey", F.when(F.col("p_size") != 3, F.col("p_size")).alias("time"), F.expr(_NAMES).alias("name"))
+    return named.where(files.is_user_file(F.col("name"), F.col("p_partkey"), F.col("time"))).select("p_partkey", "name")
 
 
 @_query("SELECT user_id, max(ts) AS last_login FROM events WHERE event_type = 'signup' AND user_id > 0 GROUP BY user_id")
@@ -86,10 +93,29 @@ def login_line_parse(t) -> DataFrame:
     return p.withColumn("number", number).where(F.col("number").between(10, 1000)).select("c_custkey", "kind", "number")
 
 
-@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 AS flag FROM events")
+_WATCH = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in health.WATCHED.items()) + ") AS w(id, label)"
+
+
+@_query(f"SELECT event_id, id, label, event_id % 3 AS value, event_id % 3 > 0 AS flag FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) * 3 % 200 AS id FROM events) JOIN {_WATCH} USING (id)")
 def smart_flags(t) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
-    return t("events").select("event_id", k.alias("k"), (k > 50).alias("flag"))
+    values = t("events").select("event_id", (k * 3 % 200).cast("int").alias("id"), (F.col("event_id") % 3).alias("value"))
+    return health.flagged(values, health.watch_list(values.sparkSession), "id", "value").select("event_id", "id", "label", "value", "flag")
+
+
+_ATTRIBUTES = "list_filter([{'id': 5, 'name': 'Reallocated sectors', 'value': a}, {'id': 197, 'name': 'Current pending sectors', 'value': b}], lambda x: x.value > 0)"
+
+
+@_query(f"WITH d AS (SELECT event_id, (event_id % 5)::BIGINT AS a, (event_id % 2)::BIGINT AS b FROM events), r AS (SELECT event_id, list_concat(CASE WHEN event_id % 7 = 0 THEN ['SMART overall health self-assessment: FAILED'] ELSE [] END, list_transform({_ATTRIBUTES}, lambda x: x.name || ': ' || x.value)) AS bad FROM d) SELECT event_id, CASE WHEN len(bad) > 0 THEN 'attention' ELSE 'clear' END AS verdict, len(bad)::BIGINT AS defects, array_to_string(bad, '; ') AS issues FROM r")
+def smart_documents(t) -> DataFrame:
+    raw = lambda i, v: F.struct(F.lit(i).alias("id"), F.struct(v.alias("value")).alias("raw"))
+    e = F.col("event_id")
+    table = F.struct(F.array(raw(5, e % 5), raw(9, e), raw(197, e % 2)).alias("table"))
+    document = F.to_json(F.struct(F.struct((e % 7 != 0).alias("passed")).alias("smart_status"), table.alias("ata_smart_attributes")))
+    found = health.findings_of(health.read(t("events").select(e.cast("string").alias("device"), document.alias("document"))))
+    issues = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == "bad", F.struct("seq", "detail")))), lambda x: x["detail"]), "; ")
+    per = found.groupBy("device").agg(F.count_if(F.col("level") == "bad").alias("defects"), issues.alias("issues"))
+    return health.verdicts(found, "device").join(per, "device").select(F.col("device").cast("long").alias("event_id"), "verdict", "defects", "issues")
 
 
 @_query("SELECT page_id, CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'doctype' WHEN starts_with(html, '<html') THEN 'html' ELSE 'unknown' END AS kind FROM pages")
@@ -103,11 +129,10 @@ def partition_clamp(t) -> DataFrame:
     return t("orders").select("o_orderkey", F.greatest(F.lit(0).cast("long"), F.least(F.col("o_custkey") * 10, F.lit(5000) - F.col("o_orderkey"))).alias("size"))
 
 
-@_query("SELECT DISTINCT (m * i // 511) // 16 * 16 AS pos FROM (SELECT max(l_orderkey) AS m FROM lineitem), (SELECT unnest(range(512)) AS i)")
+@_query("WITH m AS (SELECT max(l_orderkey) * 1000003 * 1000 AS m FROM lineitem) SELECT DISTINCT p AS pos FROM (SELECT (m::HUGEINT * i // 511 // 16 * 16)::BIGINT AS p FROM m, (SELECT unnest(range(512)) AS i) UNION ALL SELECT 0 UNION ALL SELECT m // 16 * 16 FROM m)")
 def sample_offsets(t) -> DataFrame:
-    last = t("lineitem").agg(F.max("l_orderkey").alias("m"))
-    i = last.select("m", F.explode(F.sequence(F.lit(0), F.lit(511))).alias("i"))
-    return i.select((F.floor(F.floor(F.col("m") * F.col("i") / 511) / 16) * 16).alias("pos")).distinct()
+    last = t("lineitem").agg((F.max("l_orderkey") * 1000003 * 1000).alias("m"))
+    return capture.sample_offsets(last, "m", 512, 16)
 
 
 @_query("SELECT l_suppkey, l_orderkey, l_linenumber, coalesce(lead(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey), 1000000) AS ends FROM lineitem")
@@ -118,10 +143,9 @@ def chunk_end_lead(t) -> DataFrame:
     return t("lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.coalesce(F.lead("l_orderkey").over(w), F.lit(1000000)).alias("ends"))
 
 
-@_query("SELECT user_id, arg_max(event_type, n * 100 + ascii(event_type)) AS stage FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
+@_query("SELECT user_id, event_type AS stage FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type DESC) AS k FROM events GROUP BY user_id, event_type) WHERE k = 1")
 def bottleneck(t) -> DataFrame:
-    n = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return n.groupBy("user_id").agg(F.max_by("event_type", F.col("n") * 100 + F.ascii("event_type")).alias("stage"))
+    return capture.bottleneck(t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id"], "event_type", "n")
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(l_discount, 0), 4) AS eta FROM lineitem")
@@ -130,9 +154,9 @@ def eta_speed(t) -> DataFrame:
 
 
 def _size_sql(base: int, places: int) -> str:
-    n = "(l_partkey * 123457)"
-    cases = " ".join(f"WHEN {n} < {base ** (k + 1)} THEN printf('%.{places}f {u}', {n} / {float(base**k)})" for k, u in ((1, "KB"), (2, "MB"), (3, "GB")))
-    return f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {n} < {base} THEN printf('%d B', {n}) {cases} ELSE printf('%.{places}f TB', {n} / {float(base**4)}) END AS size_text FROM lineitem"
+    n, i = "(l_partkey * 123457)", "i" if base == 1024 else ""
+    cases = " ".join(f"WHEN {n} < {base ** (k + 1)} THEN printf('%.{places}f {u}', {n} / {float(base**k)})" for k, u in ((1, f"K{i}B"), (2, f"M{i}B"), (3, f"G{i}B")))
+    return f"SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN {n} < {base} THEN printf('%d B', {n}) {cases} ELSE printf('%.{places}f T{i}B', {n} / {float(base**4)}) END AS size_text FROM lineitem"
 
 
 def _sized(t, base: int, places: int) -> DataFrame:
@@ -154,10 +178,10 @@ def iso_ts(t) -> DataFrame:
     return t("events").select("event_id", scalars.iso(F.col("ts")).alias("at"))
 
 
-@_query("SELECT DISTINCT l_orderkey, strftime(make_timestamp((l_orderkey * 1000000000000 // 10)::BIGINT), '%Y-%m-%d %H:%M:%S UTC') AS at FROM lineitem")
+@_query("SELECT DISTINCT l_orderkey, strftime(make_timestamp(((l_orderkey * 1000000000000 + 7 * l_orderkey + 9) // 10)::BIGINT), '%Y-%m-%d %H:%M:%S.%f') AS at FROM lineitem")
 def filetime_ts(t) -> DataFrame:
-    ft = F.col("l_orderkey") * 1000000000000 + scalars.FILETIME_EPOCH
-    return t("lineitem").select("l_orderkey").distinct().select("l_orderkey", scalars.iso(scalars.filetime(ft)).alias("at"))
+    ft = F.col("l_orderkey") * 1000000000000 + F.col("l_orderkey") * 7 + 9 + scalars.FILETIME_EPOCH
+    return t("lineitem").select("l_orderkey").distinct().select("l_orderkey", F.date_format(scalars.filetime(ft), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
 
 
 @_query("SELECT event_id, 'UTC' || CASE WHEN b > 0 THEN '-' ELSE '+' END || lpad((abs(b) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(b) % 60)::VARCHAR, 2, '0') AS zone FROM (SELECT event_id, event_id % 1440 - 720 AS b FROM events)")
@@ -188,23 +212,36 @@ def ordered_distinct_ips(t) -> DataFrame:
     return first.groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]), ",").alias("types"))
 
 
-@_query("SELECT source, bool_and(md5(text) = md5(text)) AS matched, count(*) AS n FROM documents GROUP BY source")
+_RECORDED = "CASE WHEN doc_id % 97 = 0 THEN md5(text || '.') WHEN doc_id % 5 = 0 THEN upper(md5(text)) ELSE md5(text) END"
+
+
+@_query("SELECT source, n - wrong = n AS matched, n AS digests, wrong FROM (SELECT source, count(*) AS n, count(*) FILTER (doc_id % 97 = 0 OR doc_id % 89 = 0) AS wrong FROM documents GROUP BY source)")
 def hash_verify(t) -> DataFrame:
-    recorded = t("documents").select("doc_id", "source", F.md5("text").alias("recorded"))
-    again = t("documents").select("doc_id", F.md5("text").alias("found"))
-    return recorded.join(again, "doc_id").groupBy("source").agg(F.bool_and(F.col("recorded") == F.col("found")).alias("matched"), F.count("*").alias("n"))
+    """Of digests recorded beforehand some are of other texts, and some weren't computed again: both don't match."""
+    recorded = t("documents").select("doc_id", "source", F.expr(_RECORDED).alias("recorded"))
+    found = t("documents").where("doc_id % 89 <> 0").select("doc_id", F.md5("text").alias("found"))
+    matched = capture.matches(recorded, found, ["doc_id"])
+    wrong = matched.groupBy("source").agg(F.count_if(~F.col("match")).alias("wrong"))
+    return capture.all_match(matched, ["source"]).join(wrong, "source").select("source", "matched", "digests", "wrong")
+
 
+_FOLDER = "'\\' || CASE c_custkey % 5 WHEN 0 THEN 'Users\\' || c_name || '\\AppData\\Local' WHEN 1 THEN 'Users\\' || c_name || '\\Documents' WHEN 2 THEN 'Users\\Default\\x' WHEN 3 THEN 'Windows\\Temp' ELSE 'USERS\\' || c_name END"
 
-@_query("SELECT page_id, split_part(url, '/', 4) AS folder FROM pages WHERE lower(split_part(url, '/', 4)) IN ('en', 'de') AND split_part(url, '/', 5) <> ''")
+
+@_query(f"SELECT c_custkey, folder FROM (SELECT c_custkey, {_FOLDER} AS folder FROM customer) WHERE c_custkey % 5 IN (1, 4)")
 def user_path_filter(t) -> DataFrame:
-    part = lambda k: F.split_part("url", F.lit("/"), F.lit(k))
-    return t("pages").where(F.lower(part(4)).isin("en", "de") & (part(5) != "")).select("page_id", part(4).alias("folder"))
+    name, k = F.col("c_name"), F.col("c_custkey") % 5
+    folder = F.when(k == 0, F.concat(F.lit("\\Users\\"), name, F.lit("\\AppData\\Local"))).when(k == 1, F.concat(F.lit("\\Users\\"), name, F.lit("\\Documents"))).when(k == 2, "\\Users\\Default\\x").when(k == 3, "\\Windows\\Temp").otherwise(F.concat(F.lit("\\USERS\\"), name))
+    return t("customer").select("c_custkey", folder.alias("folder")).where(files.is_user_path(F.col("folder")))
+
+
+_SID = "CASE c_custkey % 4 WHEN 0 THEN 'S-1-5-21-7-8-9-' || c_custkey WHEN 1 THEN 'S-1-12-1-5-' || c_custkey WHEN 2 THEN 'S-1-5-18' ELSE 'S-1-5-80-x' END"
 
 
-@_query("SELECT c_custkey, CASE WHEN c_mktsegment IN ('MACHINERY', 'AUTOMOBILE') THEN 'service' WHEN starts_with(c_mktsegment, 'B') THEN 'builtin' ELSE 'person' END AS class FROM customer")
+@_query(f"SELECT c_custkey, {_SID} AS sid, CASE c_custkey % 4 WHEN 0 THEN 'domain' WHEN 1 THEN 'Microsoft Entra ID' ELSE 'other' END AS class, CASE WHEN c_custkey % 4 < 2 THEN c_custkey WHEN c_custkey % 4 = 2 THEN 18 ELSE -1 END AS rid, c_custkey % 4 <> 2 AS profile FROM customer")
 def account_class(t) -> DataFrame:
-    m = F.col("c_mktsegment")
-    return t("customer").select("c_custkey", F.when(m.isin("MACHINERY", "AUTOMOBILE"), "service").when(m.startswith("B"), "builtin").otherwise("person").alias("class"))
+    sid = F.col("sid")
+    return t("customer").select("c_custkey", F.expr(_SID).alias("sid")).select("c_custkey", "sid", scalars.account_type(sid).alias("class"), F.coalesce(scalars.rid(sid), F.lit(-1)).alias("rid"), files.is_profile_sid(sid).alias("profile"))
 
 
 @_query("WITH q AS (SELECT page_id, string_split(split_part(split_part(url, '#', 1), '?', 2), '&') AS p FROM pages), i AS (SELECT page_id, p, unnest(range(len(p))) AS k FROM q), e AS (SELECT page_id, k, p[k + 1] AS pair FROM i) SELECT page_id, split_part(pair, '=', 1) AS name, arg_max(substr(pair, strpos(pair, '=') + 1), k) AS value FROM e WHERE strpos(pair, '=') > 1 GROUP BY ALL")
@@ -225,6 +262,138 @@ def path_recursive(t) -> DataFrame:
     return paths.resolve(turns, ["conv_id", "turn"], ["same", "before"], "role")
 
 
+@_query("SELECT p_partkey, CASE WHEN p_size * 1000 >= 22000 THEN 'Windows 11 ' || p_brand ELSE 'Windows 10 ' || p_brand END AS name, CASE WHEN p_partkey % 3 = 0 THEN (p_size * 1000)::VARCHAR ELSE (p_size * 1000)::VARCHAR || '.' || p_partkey END AS build FROM part")
+def windows_names(t) -> DataFrame:
+    build, ubr = (F.col("p_size") * 1000).cast("string"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey"))
+    return t("part").select("p_partkey", scalars.product_name(F.concat(F.lit("Windows 10 "), "p_brand"), build).alias("name"), scalars.build_text(build, ubr).alias("build"))
+
+
+@_query("SELECT c_custkey, '\\Users\\' || c_name AS inner_path, c_name AS folder FROM customer")
+def volume_paths(t) -> DataFrame:
+    k, name = F.col("c_custkey") % 3, F.col("c_name")
+    path = F.when(k == 0, F.concat(F.lit("C:\\Users\\"), name)).when(k == 1, F.concat(F.lit("%SystemDrive%\\Users\\"), name, F.lit("\\"))).otherwise(F.concat(F.lit("\\Users\\"), name))
+    inner = scalars.volume_path(path)
+    return t("customer").select("c_custkey", inner.alias("inner_path"), scalars.last_part(inner, "\\").alias("folder"))
+
+
+@_query("SELECT c_custkey, 'u' || c_custkey AS username, CASE WHEN c_custkey % 4 = 0 THEN 0 ELSE (c_custkey * 7)::INT END AS uid, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_name END AS full_name, c_custkey % 5 = 0 AS disabled, c_custkey % 4 = 0 AS admin FROM customer WHERE (c_custkey % 4 = 0 OR c_custkey * 7 BETWEEN 1000 AND 59999) AND c_custkey % 11 <> 0")
+def login_accounts(t) -> DataFrame:
+    """Lines of a passwd file made from customers: some without a number, or with too few fields."""
+    k = F.col("c_custkey")
+    uid = F.when(k % 11 == 0, "x").otherwise(F.when(k % 4 == 0, F.lit(0)).otherwise(k * 7).cast("string"))
+    gecos = F.when(k % 3 == 0, ",,").otherwise(F.concat("c_name", F.lit(",room,,")))
+    line = F.concat_ws(":", F.concat(F.lit("u"), k.cast("string")), F.lit("x"), uid, F.lit("1"), gecos, F.lit("/home/u"), F.when(k % 5 == 0, "/usr/sbin/nologin").otherwise("/bin/sh"))
+    out = files.login_accounts(t("customer").select("c_custkey", line.alias("line")), "line")
+    return out.select("c_custkey", "username", "uid", "full_name", "disabled", (F.col("uid") == 0).alias("admin"))
+
+
+@_query("SELECT o_custkey % 50 AS file, 'K' || (o_orderkey % 6) AS name, arg_max(o_orderstatus || ' ' || o_orderkey, o_orderkey) AS value FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY ALL")
+def settings_parse(t) -> DataFrame:
+    """Lines name=value in three ways of quoting, and comments; the last of equal names counts."""
+    k, value = F.col("o_orderkey"), F.concat_ws(" ", "o_orderstatus", F.col("o_orderkey").cast("string"))
+    quoted = F.when(k % 3 == 0, F.concat(F.lit('"'), value, F.lit('"'))).when(k % 3 == 1, F.concat(F.lit("'"), value, F.lit("'"))).otherwise(value)
+    line = F.concat(F.when(k % 7 == 0, "  # ").otherwise(" "), F.lit("K"), (k % 6).cast("string"), F.lit(" = "), quoted)
+    return files.settings(t("orders").select((F.col("o_custkey") % 50).alias("file"), line.alias("line"), F.col("o_orderkey").alias("no")), ["file"], "line", "no")
+
+
+@_query("SELECT o_orderkey, o_orderkey * 65537 AS number, o_orderkey * 4294967296 + o_custkey AS joined, ((o_orderkey - 1) // 128) AS \"group\", (o_orderkey - 1) % 128 AS place, (o_orderkey + 511) // 512 AS blocks, o_orderkey // 16 * 16 AS aligned FROM orders WHERE o_orderkey > 0")
+def binary_numbers(t) -> DataFrame:
+    n, k = F.col("o_orderkey") * 65537, F.col("o_orderkey")
+    raw = F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0") for i in range(8))))
+    at = scalars.inode_place(k, F.lit(128))
+    return t("orders").where("o_orderkey > 0").select("o_orderkey", scalars.signed_long(scalars.little_endian(raw, 0, 8)).alias("number"), scalars.joined_number(k, F.col("o_custkey")).alias("joined"), at["group"].alias("group"), at["place"].alias("place"), scalars.blocks(k, 512).alias("blocks"), scalars.aligned(k, 16).alias("aligned"))
+
+
+@_query("WITH s AS (SELECT o_orderkey, o_custkey, o_totalprice, (o_orderkey * 13)::BIGINT AS n FROM orders) SELECT o_orderkey, printf('%.1f MB/s', o_totalprice * 1000 / 1e6) AS speed, CASE WHEN n < 3600 THEN printf('%dm %02ds', n // 60, n % 60) ELSE printf('%dh %02dm %02ds', n // 3600, n // 60 % 60, n % 60) END AS took, CASE WHEN o_orderkey % 10 = 0 THEN '-' ELSE strftime(make_timestamp(n * 1000000), '%Y-%m-%d %H:%M:%S UTC') END AS at, round(2 + 96.0 * (o_orderkey % 9) / 9, 6) AS percent FROM s WHERE n > 0")
+def report_texts(t) -> DataFrame:
+    n, k = F.col("o_orderkey") * 13, F.col("o_orderkey")
+    return t("orders").where("o_orderkey > 0").select("o_orderkey", scalars.speed_text(F.col("o_totalprice") * 1000).alias("speed"), scalars.duration_text(n).alias("took"), scalars.time_text(F.when(k % 10 == 0, 0).otherwise(n)).alias("at"), F.round(scalars.progress(k % 9, F.lit(9)), 6).alias("percent"))
+
+
+@_query("SELECT page_id, replace(replace(replace(replace(replace(coalesce(html, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS escaped, trim(translate(coalesce(html, ''), chr(9) || chr(10) || chr(13), '   '), ' ') AS line FROM pages")
+def escaped_text(t) -> DataFrame:
+    return t("pages").select("page_id", scalars.escaped(F.col("html")).alias("escaped"), scalars.one_line(F.coalesce("html", F.lit(""))).alias("line"))
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS zone, CASE WHEN n_nationkey % 3 = 0 THEN '6.8.' || n_nationkey END AS kernel, CASE n_nationkey % 5 WHEN 0 THEN '/dev/pd' || n_nationkey WHEN 1 THEN 'C:' WHEN 2 THEN '/dev/nvme0n1' WHEN 3 THEN '/dev/sda' ELSE '/dev/disk' || n_nationkey END AS device FROM nation")
+def system_names(t) -> DataFrame:
+    k, number = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    link = F.concat(F.when(k % 2 == 0, "../usr/share/zoneinfo/").otherwise("/etc/"), "n_name")
+    name = F.concat(F.when(k % 3 == 0, "vmlinuz-6.8.").otherwise("initrd.img-6.8."), number)
+    device = F.when(k % 5 == 0, F.concat(F.lit("\\\\.\\PHYSICALDRIVE"), number)).when(k % 5 == 1, "\\\\.\\C:").when(k % 5 == 2, "/dev/nvme0n1p3").when(k % 5 == 3, "/dev/sda2").otherwise(F.concat(F.lit("/dev/rdisk"), number, F.lit("s1")))
+    return t("nation").select("n_nationkey", scalars.zone_of_link(link).alias("zone"), scalars.kernel_version(name).alias("kernel"), scalars.device_argument(device).alias("device"))
+
+
+@_query("SELECT path, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS mountpoints, bool_or(c_mktsegment = 'MACHINERY') AS system FROM (SELECT '/dev/' || c_nationkey AS path, c_mktsegment FROM customer) GROUP BY path")
+def device_mounts(t) -> DataFrame:
+    rows = t("customer").select(F.concat(F.lit("/dev/"), F.col("c_nationkey").cast("string")).alias("path"), F.col("c_mktsegment").alias("mountpoint"))
+    own = devices.with_mounts(rows.select("path").distinct().withColumn("parent", F.lit(None).cast("string")), rows)
+    return devices.with_system(own, ["machinery"]).select("path", F.array_join("mountpoints", ",").alias("mountpoints"), "system")
+
+
+@_query("SELECT (SELECT count(*) FROM region) AS physical, (SELECT count(*) FROM nation) AS logical")
+def device_counts(t) -> DataFrame:
+    rows = t("region").select(F.lit("disk").alias("kind")).unionByName(t("nation").select(F.lit("partition").alias("kind")))
+    return devices.counts(rows)
+
+
+@_query("SELECT user_id, array_to_string(list_filter(['md5', 'sha1', 'sha256'], lambda x: list_contains(r, x)), ',') AS chosen, array_to_string(list_sort(list_filter(r, lambda x: NOT list_contains(['md5', 'sha1', 'sha256'], x))), ',') AS unknown FROM (SELECT user_id, list(DISTINCT CASE event_type WHEN 'view' THEN 'sha256' WHEN 'click' THEN 'md5' ELSE event_type END) AS r FROM events WHERE event_id % 29 < 5 GROUP BY user_id)")
+def chosen_hashes(t) -> DataFrame:
+    kind = F.when(F.col("event_type") == "view", "sha256").when(F.col("event_type") == "click", "md5").otherwise(F.col("event_type"))
+    r = t("events").where("event_id % 29 < 5").groupBy("user_id").agg(F.collect_set(kind).alias("r"))
+    known = F.array(*map(F.lit, capture.HASHES))
+    return r.select("user_id", F.array_join(F.array_intersect(known, "r"), ",").alias("chosen"), F.array_join(F.array_sort(F.array_except("r", known)), ",").alias("unknown"))
+
+
+@_query("SELECT l_orderkey AS lba, row_number() OVER (ORDER BY l_orderkey) - 1 AS number FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
+def distinct_sorted(t) -> DataFrame:
+    from ..operators.scans import numbered
+
+    return numbered(t("lineitem").select(F.col("l_orderkey").alias("lba")).distinct(), [F.col("lba")])
+
+
+@_query("SELECT c_custkey, coalesce(o.name, c_name) AS owner, coalesce(last, -1) AS last FROM customer LEFT JOIN (SELECT o_custkey, 'user' || o_custkey AS name, max(o_orderkey) AS last FROM orders WHERE o_totalprice > 300000 GROUP BY o_custkey) o ON o_custkey = c_custkey")
+def owner_or_folder(t) -> DataFrame:
+    roots = rel.latest_by(t("orders").where("o_totalprice > 300000"), "o_custkey", ["o_orderkey"], []).select(F.col("o_custkey").alias("c_custkey"), F.concat(F.lit("user"), F.col("o_custkey").cast("string")).alias("name"), F.col("o_orderkey").alias("last"))
+    return t("customer").select("c_custkey", "c_name").join(roots, "c_custkey", "left").select("c_custkey", F.coalesce("name", "c_name").alias("owner"), F.coalesce("last", F.lit(-1)).alias("last"))
+
+
+@_query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.other) AS name, coalesce(b.n, 0) AS n FROM (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT o_custkey AS k, 'order' AS other, count(*) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey) b ON a.k = b.k")
+def names_and_numbers(t) -> DataFrame:
+    """A full join of what two lists know of the same numbers; the first list's name wins."""
+    a = t("customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), "c_name")
+    b = t("orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.lit("order").alias("other"))
+    return a.join(b, "k", "full").select("k", F.coalesce("c_name", "other").alias("name"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def global_latest(t) -> DataFrame:
+    return rel.recent_files(t("events"), "user_id", [F.desc("ts"), F.desc("event_id")], total=1).select("event_id", "user_id")
+
+
+_BYTES = "WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), l AS (SELECT doc_id, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT) AS b FROM b)"
+
+
+@_query(f"{_BYTES} SELECT doc_id, ((len(b) + coalesce(list_sum(list_transform(b, lambda x, i: x * (len(b) - i + 1))), 0)) % 65521 * 65536 + (1 + coalesce(list_sum(b), 0)) % 65521)::BIGINT AS adler FROM l")
+def adler32_rows(t) -> DataFrame:
+    import zlib
+
+    adler = F.udf(lambda raw: zlib.adler32(raw), "long", useArrow=True)
+    return t("documents").select("doc_id", adler(F.coalesce("text", F.lit("")).cast("binary")).alias("adler"))
+
+
+def _without_sql(f):
+    _Q[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+    return f
+
+
+@_without_sql
+def compress_ratio(t) -> DataFrame:
+    """DuckDB has no zlib; tests hold the rows against plain zlib."""
+    ratio = F.udf(ewf.sample_ratio, "double", useArrow=True)
+    return t("documents").select("doc_id", F.round(ratio(F.coalesce("text", F.lit("")).cast("binary")), 6).alias("ratio"), (ratio(F.coalesce("text", F.lit("")).cast("binary")) >= ewf.POOR).alias("stored"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures
 from ..operators.paths import shared_folder
-from . import evidence, triage, windows
+from . import capture, evidence, triage, windows
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -169,6 +171,60 @@ def ext_inodes(spark) -> DataFrame:
     return rows.groupBy("mode").agg(F.count("*").alias("inodes"), F.sum("size").cast("long").alias("bytes"))
 
 
+_ACQUIRED: dict[str, dict] = {}
+_DISK = fixtures.disk()
+
+
+def acquired(spark: SparkSession) -> dict:
+    """An EWF image of the fixture's disk, in segments, of which two ranges of sectors couldn't be read."""
+    path = built(spark)
+    if path not in _ACQUIRED:
+        folder = os.path.join(os.path.dirname(path), f"acquired-{uuid.uuid4().hex[:8]}")
+        os.makedirs(folder)
+        job = {"source": path, "folder": folder, "name": "image", "segment_size": 600_000, "case": {"case_number": "C-1"}}
+        (_ACQUIRED[path],) = capture.acquire(spark, [job], capture.HASHES, verify=True, faults=[20000, 20001, 20500])
+    return _ACQUIRED[path]
+
+
+def _with_zeros() -> bytes:
+    out = bytearray(_DISK)
+    for first, n in ((20000, 2), (20500, 1)):
+        out[first * 512 : (first + n) * 512] = bytes(n * 512)
+    return bytes(out)
+
+
+@_query(_values("algorithm, recorded, match", *((a, hashlib.new(a, _with_zeros()).hexdigest(), True) for a in capture.HASHES)))
+def capture_hashes(spark) -> DataFrame:
+    r = acquired(spark)
+    return capture.verified(spark, [(r["paths"][0], r["total_bytes"], r["hashes"])]).select("algorithm", "recorded", "match")
+
+
+@_query(_values("\"first\", sectors", (20000, 2), (20500, 1)))
+def capture_bad_ranges(spark) -> DataFrame:
+    return spark.createDataFrame(acquired(spark)["bad_ranges"], "first long, sectors long")
+
+
+@_query(_values("size, acquisition_errors, case_number, md5, chunk_size", (len(_DISK), 2, "C-1", hashlib.md5(_with_zeros()).hexdigest(), 32768)))
+def capture_image(spark) -> DataFrame:
+    info = evidence.relation(spark, "info", [acquired(spark)["paths"][0]])
+    return info.select("size", "acquisition_errors", F.col("header.case_number").alias("case_number"), "md5", "chunk_size")
+
+
+@_query(_values("chunks, bytes, damaged, checked", (len(_DISK) // 32768, len(_DISK), 0, True)))
+def ewf_sections_fixture(spark) -> DataFrame:
+    first = acquired(spark)["paths"][0]
+    rows = evidence.chunks(spark, [first])
+    checked = evidence.relation(spark, "sections", [first]).agg(F.bool_and("checked").alias("checked"))
+    damaged = evidence.damage(rows).agg(F.coalesce(F.sum("chunks"), F.lit(0)).cast("long").alias("damaged"))
+    return rows.agg(F.count("*").alias("chunks"), F.sum("media_length").cast("long").alias("bytes")).join(damaged).join(checked)
+
+
+@_query(_values("seq, level, title, detail", (0, "ok", "SMART healthy", "No reallocated, pending or uncorrectable sectors reported"), (1, "bad", "Unreadable sectors found", "3 bad sector(s), first at LBA 20000")))
+def capture_scan(spark) -> DataFrame:
+    r = capture.scan(spark, built(spark), "full", fixtures.smart_document(), faults=[20000, 20001, 20500])
+    return spark.createDataFrame([(k, f["level"], f["title"], f["detail"]) for k, f in enumerate(r["findings"])], "seq long, level string, title string, detail string")
+
+
 def queries() -> dict:
     return dict(_Q)
 
