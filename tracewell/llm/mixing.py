@@ -24,7 +24,7 @@ BLOCK = 2000
 
 def place(*keys: Column) -> Column:
     """A place from 0 to 2^60 - 1, the first 15 hexadecimal digits of the MD5 of the keys' texts."""
-    text = F.concat_ws("\x1f", *(F.coalesce(k.cast("string"), F.lit("null")) for k in keys))
+    text = F.concat_ws("|", *(k.cast("string") for k in keys))
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
@@ -98,7 +98,7 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, *also: Column) -> DataFrame:
     """source, key (what tells rows apart), at (a number of the row), also."""
     text, source = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(f"`{source_col}`").cast("string")
-    key = F.struct(_name(F.col(f"`{id_col}`")).alias("id"), F.xxhash64(text).alias("h1"), F.crc32(text).alias("h2"), _name(source).alias("s"))
+    key = F.struct(_name(F.col(f"`{id_col}`")).alias("id"), F.md5(text).alias("h"), _name(source).alias("s"))
     return docs.select(source.alias("source"), key.alias("key"), F.monotonically_increasing_id().alias("at"), *also)
 
 
@@ -112,8 +112,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple
 def _placed(rows: DataFrame, again: DataFrame | None) -> DataFrame:
     """rows with place, without key and at. Equal rows are numbered, in blocks, so that no task has to see all of them."""
     if again is None:
-        return rows.withColumn("place", place(F.col("key.id"), F.col("key.h1"), F.col("key.h2"))).drop("key", "at")
-    single = rows.join(again, "key", "left_anti").withColumn("place", place(F.col("key.id"), F.col("key.h1"), F.col("key.h2")))
+        return rows.withColumn("place", place(F.col("key.id"), F.col("key.h"))).drop("key", "at")
+    single = rows.join(again, "key", "left_anti").withColumn("place", place(F.col("key.id"), F.col("key.h")))
     total = again.agg(F.sum("n")).first()[0]
     equal = join_groups(rows, again, ["key"], total, "n", ["at"]).withColumn("block", F.pmod("at", F.ceil(F.col("n") / BLOCK)))
     counts = equal.groupBy("key", "block").agg(F.count("*").alias("c"))
@@ -121,8 +121,8 @@ def _placed(rows: DataFrame, again: DataFrame | None) -> DataFrame:
     starts = counts.select("key", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("key", "block").orderBy("at"))
     number = equal.withColumn("no", inside - 1).join(starts, ["key", "block"]).withColumn("no", F.col("no") + F.col("start"))
-    first = place(F.col("key.id"), F.col("key.h1"), F.col("key.h2"))
-    later = place(F.col("key.id"), F.col("key.h1"), F.col("key.h2"), F.col("no"))
+    first = place(F.col("key.id"), F.col("key.h"))
+    later = place(F.col("key.id"), F.col("key.h"), F.col("no"))
     number = number.withColumn("place", F.when(F.col("no") == 0, first).otherwise(later)).drop("n", "block", "start", "no")
     return single.unionByName(number).drop("key", "at")
 

@@ -111,8 +111,23 @@ n AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(x) AS text_sha256 FROM n"""
 
 
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(x), source) - 1 AS no, CASE WHEN doc_id IS NULL THEN '' ELSE '=' || doc_id END || '|' || md5(x) AS key FROM d),
+r AS (SELECT doc_id, source, size, ('0x' || substr(md5(CASE WHEN no = 0 THEN key ELSE key || '|' || no END), 1, 15))::BIGINT AS place FROM n),
+t AS (SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS turn FROM r GROUP BY source),
+w AS (SELECT *, (turn % 3 + 1)::DOUBLE AS weight, total * 3.0 AS most FROM t),
+h AS (SELECT *, ((SELECT sum(total) FROM w)::DOUBLE - coalesce(sum(most) OVER u, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER u, 0)) AS rate
+      FROM w WINDOW u AS (ORDER BY most / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, total, least(most::DOUBLE, coalesce(weight * (SELECT max(rate) FROM h WHERE most > weight * rate), most::DOUBLE)) AS target FROM w),
+b AS (SELECT *, CASE WHEN total > 0 THEN floor(target / total) ELSE 0 END::BIGINT AS base FROM g),
+c AS (SELECT r.*, b.total, b.target, b.base, b.target - b.base * b.total AS rest, coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, total AS source_size, target, (base * size + CASE WHEN rest > 0 AND before + size <= rest THEN size WHEN rest > 0 AND before < rest AND (rest - before) * 2 >= size THEN size ELSE 0 END)::BIGINT AS taken FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": _license_sql(), "op7_arc_to_warc": WARC_SQL, "op10_exact_dedup": EXACT_SQL}
+    return {"op9_mixing": MIXING_SQL, "op5_license_scan": _license_sql(), "op7_arc_to_warc": WARC_SQL, "op10_exact_dedup": EXACT_SQL}
 
 
 __all__ = ["oracle_sql", "queries"]
