@@ -111,6 +111,34 @@ n AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(x) AS text_sha256 FROM n"""
 
 
+def _rules_sql() -> str:
+    q = quality_rules
+    values = {r: (v.split(" / ")[0], v.split(" / ")[1], width) for r, (v, width) in q.RULES.items()}
+    buckets = ", ".join(f"least({q.BUCKETS - 1}, floor(CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} ELSE 0 END / {w}::DOUBLE))::INT AS {r}" for r, (a, b, w) in values.items())
+    stratum = "CASE " + " ".join(f"WHEN n_words < {limit} THEN {k}" for k, limit in enumerate(q.STRATA)) + f" ELSE {len(q.STRATA)} END"
+    each, level = q.ALPHA / len(q.RULES), q.DELTA / ((len(q.STRATA) + 1) * len(q.RULES) * (q.BUCKETS - 1))
+    rules = " UNION ALL ".join(f"SELECT r, stratum, quality, '{r}' AS rule, {r} AS bucket FROM held" for r in values)
+    rejected = " OR ".join(f"coalesce({r} > (SELECT cut FROM best WHERE rule = '{r}' AND best.stratum = b.stratum), false)" for r in values)
+    space = r"\x20\x09-\x0D"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS x FROM documents),
+s AS (SELECT *, regexp_extract_all(x, '[^{space}]+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^{space}]')) AS l FROM d),
+g AS (SELECT r, unnest(range(len(w) - 2)) AS pos, w FROM s WHERE len(w) > 2),
+t AS (SELECT r, pos, count(*) OVER (PARTITION BY r, w[pos + 1], w[pos + 2], w[pos + 3]) AS n FROM g),
+c AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest([pos, pos + 1, pos + 2]) AS p FROM t WHERE n > 1) GROUP BY r),
+m AS (SELECT doc_id, s.r, len(w)::BIGINT AS n_words, length(regexp_replace(x, '[{space}]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+      len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM s LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {stratum} AS stratum, {buckets} FROM m),
+q AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
+held AS (SELECT b.*, q.quality FROM b JOIN q USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT stratum, rule, bucket, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS bad FROM ({rules}) GROUP BY ALL),
+k AS (SELECT stratum, rule, cut, sum(good) FILTER (bucket > cut) AS x, sum(bad) FILTER (bucket > cut) AS bad, sum(good) AS n FROM h, (SELECT unnest(range({q.BUCKETS - 1})) AS cut) GROUP BY ALL),
+v AS (SELECT stratum, rule, cut, coalesce(x, 0)::INT AS x, coalesce(bad, 0) AS bad, n::INT AS n FROM k),
+a AS (SELECT *, CASE WHEN x >= n OR x >= n * {each}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(x + 1), lambda i: exp(lgamma(n + 1) - (CASE WHEN i < 1 THEN 0 ELSE lgamma(i + 1) END) - lgamma(n - i + 1) + i * ln({each}::DOUBLE) + (n - i) * ln(1 - {each}::DOUBLE)))) END AS tail FROM v),
+best AS (SELECT stratum, rule, cut FROM a WHERE tail <= {level!r}::DOUBLE AND bad - {q.GOOD_WEIGHT} * x > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - {q.GOOD_WEIGHT} * x DESC, cut DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept FROM b"""
+
+
 MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS x, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, md5(x), source) - 1 AS no, CASE WHEN doc_id IS NULL THEN '' ELSE '=' || doc_id END || '|' || md5(x) AS key FROM d),
@@ -127,7 +155,7 @@ SELECT doc_id, size, total AS source_size, target, (base * size + CASE WHEN rest
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": MIXING_SQL, "op5_license_scan": _license_sql(), "op7_arc_to_warc": WARC_SQL, "op10_exact_dedup": EXACT_SQL}
+    return {"op8_quality_rules": _rules_sql(), "op9_mixing": MIXING_SQL, "op5_license_scan": _license_sql(), "op7_arc_to_warc": WARC_SQL, "op10_exact_dedup": EXACT_SQL}
 
 
 __all__ = ["oracle_sql", "queries"]
