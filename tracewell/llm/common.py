@@ -41,7 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: all that was made of them has been written itself."""
+    for t in tables:
+        jvm, path = t.sparkSession._jvm, t.written_to
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def words(text: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.scans import join_groups
 
-from .common import written
+from .common import discard, written
 
 #: Words that a repeated run must have to be deleted.
 MIN_WORDS = 5
@@ -82,7 +82,10 @@ def _ranked(rows: DataFrame, by: list[str], also: list[str] = []) -> DataFrame:
     total = groups.agg(F.sum("n")).first()[0] or 0
     order = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
     # Numbers are fixed once written: a recomputed partition can't change them halfway.
-    return written(join_groups(rows, written(order, "line-ranks"), by, total, "n", PLACE).select(*PLACE, *also, "rank", "first"), "line-suffixes")
+    ranks = written(order, "line-ranks")
+    out = written(join_groups(rows, ranks, by, total, "n", PLACE).select(*PLACE, *also, "rank", "first"), "line-suffixes")
+    discard(groups, ranks)
+    return out
 
 
 def _on(rows: DataFrame, moved: Column, cols: dict[str, str]) -> DataFrame:
@@ -104,6 +107,7 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Repeated rows bring a place several times.
     one = written(repeated.dropDuplicates(PLACE), "line-repeated")
     ranks = [_ranked(one, ["h1", "h2"], ["before", "after"])]
+    discard(lines, sizes, one)
     while True:
         step = 1 << (len(ranks) - 1)
         here = ranks[-1].select(*PLACE, F.col("rank").alias("r1"))

@@ -17,12 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.scans import join_groups
 
-from .common import written
+from .common import discard, written
 
 #: Words in a shingle, shingles in an element, elements in a sketch, least edit similarity.
 K, ELL, ELEMENTS, SIMILAR = 5, 2, 96, 0.8
@@ -379,6 +379,7 @@ def across(met: DataFrame, classes: DataFrame, texts: DataFrame, least: float =
     sizes = written(rare.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "omh-rare-sizes")
     meet = join_groups(rare, sizes, ["t"], sizes.agg(F.sum("n")).first()[0] or 0, "n", ["node"])
     meet = written(meet.join(own.select("node", "class"), "node"), "omh-meet")
+    discard(rare, sizes, own)
     few = meet.where(F.col("n") <= MEETING).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("node", "class", "words"))).alias("g"))
     left = few.select("g", F.posexplode("g").alias("p", "a")).select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"))
     top, low = F.greatest("a.words", "b.words"), F.least("a.words", "b.words")
@@ -478,15 +479,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     t = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.unhex(F.md5(t)).alias("node"), t.alias("text"))
-    rows = written(base.mapInArrow(_sketches(least), "id long, node binary, e array<bigint>, words int, w binary").withColumn("at", F.monotonically_increasing_id()), "omh-sketches")
-    # A node's sketch and words are read from the row that stands for it.
+    sketches = written(base.mapInArrow(_sketches(least), "id long, node binary, e array<bigint>, words int, w binary").withColumn("at", F.monotonically_increasing_id()), "omh-sketches")
+    rows = written(sketches.select("id", "node", "at"), "omh-rows")
+    # A node's sketch and words are read from the row that stands for it, and its short name tells it apart.
     stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at"))
-    nodes = written(rows.groupBy("node").agg(stands.alias("m"), F.count("*").alias("copies")).select("node", "m.none", "m.id", "m.at", "copies"), "omh-nodes")
-    searched = written(rows.where("words > 0").join(nodes.select("node", "at"), ["node", "at"], "left_semi").select("node", "e", "words"), "omh-searched")
-    met = buckets(searched.select("node", "e"))
-    texts = rows.where("words > 0").join(nodes.select("node", "at"), ["node", "at"], "left_semi").join(met.select("node").distinct(), "node", "left_semi")
-    texts = written(texts.select("node", "words", "w"), "omh-texts")
-    pairs = written(candidates(searched.select("node", "e"), met), "omh-pairs")
+    nodes = written(rows.groupBy("node").agg(stands.alias("m"), F.count("*").alias("copies")).select(F.col("node").alias("whole"), _short(F.col("m.at")).alias("node"), "m.none", "m.id", "m.at", "copies"), "omh-nodes")
+    standing = sketches.where("words > 0").drop("node").join(nodes.select("at", "node"), "at")
+    searched = written(standing.select("node", "e"), "omh-searched")
+    met = buckets(searched)
+    texts = written(standing.join(met.select("node").distinct(), "node", "left_semi").select("node", "words", "w"), "omh-texts")
+    discard(sketches, searched)
+    pairs = written(candidates(searched, met), "omh-pairs")
     links = _links(texts, pairs, least)
     classes = components(links)
     if met.where(F.col("n") > SMALL).limit(1).count():
@@ -494,17 +497,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             links = links.unionByName(_links(texts, more, least))
             classes = components(links)
+    discard(met, texts)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     member = written(nodes.join(classes, "node", "left").join(degree, "node", "left").withColumn("class", F.coalesce("class", "node")), "omh-members")
     tops = member.groupBy("class").agg(F.min(F.struct("none", "id", "node")).alias("m"), F.sum("copies").alias("class_size"))
     # A class may hold a third of all nodes, a node a third of all rows.
     sized = member.groupBy("class").agg(F.count("*").alias("members")).join(tops, "class")
     per_node = join_groups(member, sized, ["class"], _total(nodes, "1"), "members", ["node"])
-    per_node = written(per_node.select("node", "at", "copies", F.col("m.id").alias("class_id"), (F.col("m.node") == F.col("node")).alias("top"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "omh-classes")
+    per_node = written(per_node.select(F.col("whole").alias("node"), "at", "copies", F.col("m.id").alias("class_id"), (F.col("m.node") == F.col("node")).alias("top"), "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "omh-classes")
     out = join_groups(rows.select("id", "node", F.col("at").alias("row")), per_node, ["node"], _total(nodes, "copies"), "copies", ["row"])
     return out.select("id", "node", "class_id", "class_size", "n_links", (F.col("top") & (F.col("row") == F.col("at"))).alias("kept"))
 
 
+def _short(at: Column) -> Column:
+    """Eight bytes that are a row's number, the other way round, so that they are spread over their whole range."""
+    return F.unhex(F.reverse(F.lpad(F.hex(at), 16, "0")))
+
+
 def _total(df: DataFrame, what: str) -> int:
     return df.agg(F.expr(f"sum({what})")).first()[0] or 0
 
