@@ -86,11 +86,32 @@ def _read(image, t: Table, at: int, n: int) -> bytes:
 
 def _number(m: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int, broken: np.ndarray) -> np.ndarray:
     """Little-endian numbers at a place in each of the rows; rows are broken that end before."""
-    cols = at.astype(np.int64)[:, None] + np.arange(width)
-    broken[rows[cols[:, -1] >= m.shape[1]]] = True
-    v = np.zeros((len(rows), 8), np.uint8)
-    v[:, :width] = m[rows[:, None], np.minimum(cols, m.shape[1] - 1)]
-    return v.view("<u8")[:, 0]
+    if not len(rows):
+        return np.zeros(0, np.uint64)
+    n, at = m.shape[1], at.astype(np.int64)
+    broken[rows[at + width > n]] = True
+    flat = m.reshape(-1)
+    # A number begins at every byte.
+    every = np.ndarray((flat.size - width + 1,), f"<u{width}", flat, strides=(1,))
+    return every[rows * n + np.minimum(at, n - width)].astype(np.uint64)
+
+
+def _texts(m: np.ndarray, at: np.ndarray, letters: np.ndarray) -> list[str]:
+    """UTF-16 at a place in each row of m."""
+    n = m.shape[1]
+    size = np.maximum(0, np.minimum(2 * letters, n - at)) // 2 * 2
+    upto = np.cumsum(size + 2)
+    inside = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size - 2, size + 2)
+    # Each text is followed by a zero.
+    place = np.repeat(np.arange(len(m)) * n + at, size + 2) + inside
+    raw = m.reshape(-1)[np.minimum(place, m.size - 1)]
+    ends = upto - 2
+    raw[ends] = raw[ends + 1] = 0
+    found = raw.tobytes().decode("utf-16-le", "replace").split("\0")[:-1]
+    if len(found) == len(m):
+        return found
+    # A zero inside a text: damage, and rare.
+    return [bytes(r[a : a + k]).decode("utf-16-le", "replace") for r, a, k in zip(m, at.tolist(), size.tolist(), strict=True)]
 
 
 def mended(m: np.ndarray) -> np.ndarray:
@@ -108,7 +129,7 @@ def mended(m: np.ndarray) -> np.ndarray:
     return whole
 
 
-def decoded(m: np.ndarray, first: int) -> dict[str, list]:
+def decoded(m: np.ndarray, first: int) -> dict[str, pa.Array]:
     """Columns of live base records that have a name; rows of m are records from number first on."""
     n = len(m)
     rows, broken = np.arange(n), np.zeros(n, bool)
@@ -145,9 +166,12 @@ def decoded(m: np.ndarray, first: int) -> dict[str, list]:
         at[r] += length.astype(np.int64)
         r = r[going & ~broken[r] & (at[r] + 16 <= end[r])]
     keep = np.flatnonzero(~broken & (rank < 99))
-    names = [m[k, name_at[k] + 66 : name_at[k] + 66 + 2 * int(m[k, name_at[k] + 64])].tobytes().decode("utf-16-le", "replace") for k in keep]
-    long = lambda x: [int(v) if v < 0x7FFFFFFFFFFFFFFF else None for v in x[keep]]
-    return {"number": number[keep].tolist(), "flags": flags[keep].tolist(), "parent": long(parent), "name": names, "modified_ft": long(modified), "size": long(size)}
+    named = m[keep]
+    letters = named[np.arange(len(keep)), np.minimum(name_at[keep] + 64, m.shape[1] - 1)].astype(np.int64) if len(keep) else np.zeros(0, np.int64)
+    names = _texts(named, name_at[keep] + 66, letters)
+    # What a long can't hold is damage.
+    long = lambda x: pa.array(x[keep].astype(np.int64), pa.int64(), mask=x[keep] >= np.uint64(0x7FFFFFFFFFFFFFFF))
+    return {"number": pa.array(number[keep], pa.int64()), "flags": pa.array(flags[keep].astype(np.int32)), "parent": long(parent), "name": pa.array(names, pa.string()), "modified_ft": long(modified), "size": long(size)}
 
 
 def scan(image, name: str, volume: int, t: Table, first: int, last: int) -> Iterator[pa.RecordBatch]:
@@ -156,7 +180,4 @@ def scan(image, name: str, volume: int, t: Table, first: int, last: int) -> Iter
         whole = len(raw) // t.record
         c = decoded(np.frombuffer(raw, np.uint8)[: whole * t.record].reshape(whole, t.record).copy(), k)
         n = len(c["name"])
-        yield pa.record_batch({
-            "image": pa.array([name] * n, pa.string()), "volume": pa.array([volume] * n, pa.int32()), "number": pa.array(c["number"], pa.int64()), "flags": pa.array(c["flags"], pa.int32()),
-            "parent": pa.array(c["parent"], pa.int64()), "name": pa.array(c["name"], pa.string()), "modified_ft": pa.array(c["modified_ft"], pa.int64()), "size": pa.array(c["size"], pa.int64()), "error": pa.nulls(n, pa.string()),
-        })
+        yield pa.record_batch({"image": pa.array([name] * n, pa.string()), "volume": pa.array(np.full(n, volume, np.int32)), **c, "error": pa.nulls(n, pa.string())})
