@@ -35,17 +35,23 @@ def resolve(df: DataFrame, key: Sequence[str], parent: Sequence[str], name: str,
 
     Keys must be unique. Rows are left out whose ancestors miss a row, form a cycle, or are more than levels (a power of two). Every round joins
     rows with what they point to and doubles the levels that a pointer spans, so the rounds grow with the
-    logarithm of the depth.
+    logarithm of the depth. Rows that many point to are copied to several tasks.
     """
+    from .scans import join_groups
+
     up, above = [f"_up{i}" for i in range(len(key))], [f"_above{i}" for i in range(len(key))]
     step = df.select(*key, *(F.col(p).alias(u) for p, u in zip(parent, up, strict=True)), F.col(name).alias("path"))
     root = F.greatest(*(F.col(u).isNull().cast("int") for u in up), F.lit(0)) == 1
     span = 1
     while span < levels:
         step = cut(step, "paths")
-        if not step.where(~root).limit(1).count():
+        pointing = step.where(~root)
+        left = pointing.count()
+        if not left:
             break
         far = step.select(*(F.col(k).alias(u) for k, u in zip(key, up, strict=True)), *(F.col(u).alias(a) for u, a in zip(up, above, strict=True)), F.col("path").alias("_front"))
-        moved = step.where(~root).join(far, up).select(*key, *(F.col(a).alias(u) for a, u in zip(above, up, strict=True)), F.concat("_front", F.lit(sep), "path").alias("path"))
+        sizes = pointing.groupBy(*up).agg(F.count("*").alias("_size"))
+        met = join_groups(pointing, far.join(sizes, up), up, left, "_size", key)
+        moved = met.select(*key, *(F.col(a).alias(u) for a, u in zip(above, up, strict=True)), F.concat("_front", F.lit(sep), "path").alias("path"))
         step, span = step.where(root).unionByName(moved), span * 2
     return step.where(root).select(*key, "path")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import paths
+from ..operators.scans import join_groups
 from ..sources import images
 from ..sources.evidence import EvidenceSource
 
@@ -179,11 +180,15 @@ def registry_value(values: DataFrame, key_path: str, name: str) -> DataFrame:
 
 def file_paths(mft: DataFrame, sep: str = "\\") -> DataFrame:
     """Records of files with path, from the volume's root (record 5); files in folders that don't lead there are left out."""
-    key = ["image", "volume", "number"]
-    folders = mft.where("error IS NULL AND flags & 2 > 0")
+    key, folder = ["image", "volume", "number"], ["image", "volume", "parent"]
+    mft = paths.cut(mft.where("error IS NULL").drop("error"), "file-table")
     top = F.col("number") == 5
     here = [F.when(~top, F.col(c)).alias(a) for c, a in (("image", "_i"), ("volume", "_v"), ("parent", "_p"))]
-    tree = folders.select(*key, *here, F.when(top, "").otherwise(F.col("name")).alias("name"))
+    tree = mft.where("flags & 2 > 0").select(*key, *here, F.when(top, "").otherwise(F.col("name")).alias("name"))
     found = paths.resolve(tree, key, ["_i", "_v", "_p"], "name", sep).withColumnsRenamed({"number": "parent", "path": "_folder"})
-    files = mft.where("error IS NULL AND flags & 2 = 0").join(found, ["image", "volume", "parent"])
-    return files.withColumn("path", F.concat("_folder", F.lit(sep), "name")).drop("_folder", "error")
+    files = mft.where("flags & 2 = 0")
+    # A folder may hold a third of all files.
+    sizes = paths.cut(files.groupBy(*folder).agg(F.count("*").alias("_files")), "folder-sizes")
+    total = sizes.agg(F.sum("_files")).first()[0] or 0
+    placed = join_groups(files, found.join(sizes, folder), folder, total, "_files", ["number"])
+    return placed.withColumn("path", F.concat("_folder", F.lit(sep), "name")).drop("_folder", "_files")
