@@ -73,13 +73,15 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [d.isNull().alias("none"), F.coalesce(d, F.lit(0).cast("long")).alias("d"), F.xxhash64(t).alias("k")]
 
 
-def _ranked(rows: DataFrame, by: list[str], also: list[str] = []) -> DataFrame:  # noqa: B006
-    """rows (PLACE, by, also) that share by with another row -> PLACE, also, rank (in the order of by), first (place of the group).
+def _ranked(rows: DataFrame, by: list[str], also: list[str] = []) -> DataFrame | None:  # noqa: B006
+    """rows (PLACE, by, also) that share by with another row -> PLACE, also, rank (in the order of by), first (place of the group). None if no rows do.
 
     Groups are counted before they are moved; only distinct values of by are sorted.
     """
     groups = written(rows.groupBy(*by).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return None
     order = groups.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
     # Numbers are fixed once written: a recomputed partition can't change them halfway.
     ranks = written(order, "line-ranks")
@@ -106,14 +108,19 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated = join_groups(lines, sizes, ["h1", "h2"], sizes.agg(F.sum("n")).first()[0] or 0, "n", PLACE).drop("n")
     # Repeated rows bring a place several times.
     one = written(repeated.dropDuplicates(PLACE), "line-repeated")
-    ranks = [_ranked(one, ["h1", "h2"], ["before", "after"])]
+    first = _ranked(one, ["h1", "h2"], ["before", "after"])
+    if first is None:
+        # No line stands twice: an empty table of its form.
+        first = one.where("false").select(*PLACE, "before", "after", F.lit(0).cast("long").alias("rank"), _place().alias("first"))
+        return [first]
+    ranks = [first]
     discard(lines, sizes, one)
     while True:
         step = 1 << (len(ranks) - 1)
         here = ranks[-1].select(*PLACE, F.col("rank").alias("r1"))
         pairs = here.join(_on(ranks[-1], F.col("i") - step, {"rank": "r2"}), PLACE)
         longer = _ranked(pairs, ["r1", "r2"])
-        if not longer.limit(1).count():
+        if longer is None:
             return ranks
         ranks.append(longer)
 
