@@ -39,7 +39,6 @@ def _finding(level: str, title: Column | str, detail: Column | str) -> list[Colu
 
 def findings(info: DataFrame, volumes: DataFrame, failed: DataFrame, systems: DataFrame, notes: DataFrame, damaged: DataFrame) -> DataFrame:
     """All findings in their fixed order: image, seq, level, title, detail."""
-    n = F.format_number
     size = scalars.size_text(F.col("size"), 1000, 1)
     part = F.concat(F.lit("Partition "), F.col("index").cast("string"))
     lost = info.where("error IS NOT NULL").select("image", F.lit(0).alias("index"), *_finding("bad", "Image couldn't be read", F.col("error")))
@@ -50,7 +49,6 @@ def findings(info: DataFrame, volumes: DataFrame, failed: DataFrame, systems: Da
     empty = info.where("error IS NULL").join(systems.select("image").distinct(), "image", "left_anti").select("image", F.lit(0).alias("index"), *_finding("info", "No operating system found", "No Windows (NTFS) or Linux (ext) system volume was found in this image"))
     noted = notes.select("image", F.col("volume").alias("index"), "level", "title", "detail")
     bad = damaged.groupBy("image").agg(F.sum("chunks").alias("n")).select("image", F.lit(0).alias("index"), *_finding("bad", "Damaged chunks", F.concat(F.col("n").cast("string"), F.lit(" chunk(s) couldn't be decompressed and were read as zeros"))))
-    del n
     # Encrypted and unread volumes are told in the order of volumes.
     parts, out = [lost, errors, broken, locked.unionByName(unread), empty, noted, bad], None
     for k, p in enumerate(parts):

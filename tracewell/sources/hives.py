@@ -17,14 +17,13 @@ class BadHive(Exception):
 
 
 def _cell(hive: bytes, at: int, mark: bytes = b"") -> bytes:
-    pos = BASE + at
-    if at in (0, NONE) or pos + 4 > len(hive):
-        raise BadHive(f"no cell at {at}")
-    (size,) = struct.unpack_from("<i", hive, pos)
-    out = hive[pos + 4 : pos + max(4, abs(size))]
-    if not out.startswith(mark):
-        raise BadHive(f"no {mark!r} at {at}")
-    return out
+    """What a cell holds, which begins with mark: the bytes behind its size. Sizes of cells in use are negative."""
+    begin = BASE + at + 4
+    size = int.from_bytes(hive[begin - 4 : begin], "little", signed=True) if 0 < at < NONE else 0
+    held = hive[begin : begin + max(0, abs(size) - 4)]
+    if not size or held[: len(mark)] != mark:
+        raise BadHive(f"no {mark!r} at {at}" if mark else f"no cell at {at}")
+    return held
 
 
 def _name(raw: bytes, narrow: int) -> str:
@@ -45,14 +44,21 @@ def _children(hive: bytes, at: int, depth: int = 0) -> Iterator[int]:
             yield from _children(hive, child, depth + 1)
 
 
+def _joined(hive: bytes, head: bytes) -> bytes:
+    """Large data: a cell that lists others, each with a piece."""
+    count, listed = struct.unpack_from("<HI", head, 2)
+    places = struct.unpack(f"<{count}I", _cell(hive, listed)[: 4 * count])
+    return b"".join(_cell(hive, p)[:PIECE] for p in places)
+
+
 def _data(hive: bytes, size: int, at: int) -> bytes:
-    if size >> 31:
-        return struct.pack("<I", at)[: size & 0x7FFFFFFF]
-    c = _cell(hive, at)
-    if size > PIECE and struct.unpack_from("<I", hive, 24)[0] >= 4 and c.startswith(b"db"):
-        n, pieces = struct.unpack_from("<HI", c, 2)
-        c = b"".join(_cell(hive, p)[:PIECE] for p in struct.unpack_from(f"<{n}I", _cell(hive, pieces)))
-    return c[:size]
+    """A value's bytes; up to four stand in place of their offset, which the size's highest bit tells."""
+    kept = size & 0x7FFFFFFF
+    if size != kept:
+        return at.to_bytes(4, "little")[:kept]
+    held = _cell(hive, at)
+    is_list = kept > PIECE and held[:2] == b"db" and int.from_bytes(hive[24:28], "little") >= 4
+    return (_joined(hive, held) if is_list else held)[:kept]
 
 
 def value_columns(kind: int, data: bytes) -> tuple[str | None, Decimal | None, list[str] | None, bytes | None]:
