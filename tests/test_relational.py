@@ -1,11 +1,15 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+import math
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from tracewell.functions import scalars
 from tracewell.plans import analogues
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +37,23 @@ def test_matches_sql(spark, name):
     assert _rows(got) == _rows(want)
 
 
+def test_one_place_rounds_exact_values(spark):
+    r = random.Random(4)
+    ties = [k / 20 for k in range(-2000, 2000)] + [k + 0.25 * j for k in (0, 7, 1 << 40, 1 << 50) for j in range(4)]
+    some = [*ties, *(math.nextafter(x, to) for x in ties for to in (-1e9, 1e9)), *(r.uniform(0, 10.0 ** r.randrange(-3, 18)) for _ in range(2000)), 0.0, -0.0, 2.0**53 + 2, 2.0**61, 1e-320]
+    rows = spark.createDataFrame([(x,) for x in some], "x double").select("x", scalars.one_place(F.col("x")).alias("text")).collect()
+    assert [r.text for r in rows] == [f"{r.x:.1f}" for r in rows]
+
+
+def test_speeds_of_large_tables_match_sql(spark, tmp_path):
+    # Prices whose speeds end in a half, or next to one.
+    orders = [(k, k, 1000.0 * (k // 4) + (50.0, 150.0, 250.0, 358650.0)[k % 4]) for k in range(1, 2000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert _rows(analogues.queries()["report_texts"](spark, str(tmp_path)).toPandas()) == _rows(con.execute(analogues.oracle_sql()["report_texts"]).df())
+
+
 def test_compress_ratio(spark):
     import zlib
 

@@ -163,9 +163,14 @@ def time_text(seconds: Column) -> Column:
     return F.when(F.coalesce(seconds, F.lit(0)) == 0, "-").otherwise(F.coalesce(iso(F.timestamp_seconds(seconds)), F.lit("-")))
 
 
+def one_place(x: Column) -> Column:
+    """A double's exact value rounded to one place, halves to even, as C writes it; format_string() rounds its shortest digits, halves up."""
+    return F.udf(lambda v: None if v is None else f"{v:.1f}", "string", useArrow=True)(x)
+
+
 def speed_text(rate: Column) -> Column:
     """Bytes a second as MB/s with one place; 0 for none."""
-    return F.format_string("%.1f MB/s", F.coalesce(rate.cast("double"), F.lit(0.0)) / F.lit(1e6))
+    return F.concat(one_place(F.coalesce(rate.cast("double"), F.lit(0.0)) / F.lit(1e6)), F.lit(" MB/s"))
 
 
 def duration_text(seconds: Column) -> Column:
