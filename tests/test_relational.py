@@ -54,6 +54,14 @@ def test_speeds_of_large_tables_match_sql(spark, tmp_path):
     assert _rows(analogues.queries()["report_texts"](spark, str(tmp_path)).toPandas()) == _rows(con.execute(analogues.oracle_sql()["report_texts"]).df())
 
 
+def test_late_filetimes_match_sql(spark, tmp_path):
+    keys = [0, 1, 2534022, 2534023, 2534024, 2534025, 8999999, 9000000, 9106000]
+    spark.createDataFrame([(k,) for k in keys], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert _rows(analogues.queries()["filetime_ts"](spark, str(tmp_path)).toPandas()) == _rows(con.execute(analogues.oracle_sql()["filetime_ts"]).df())
+
+
 def test_compress_ratio(spark):
     import zlib
 

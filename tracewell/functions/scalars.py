@@ -20,6 +20,11 @@ def filetime(ft: Column) -> Column:
     return F.when((ft > 0) & (ft < 9223372036854775807), F.timestamp_micros(whole(ft - FILETIME_EPOCH, 10)))
 
 
+def micros_text(ts: Column) -> Column:
+    """To the microsecond; years beyond 9999 without the sign that date_format() gives them."""
+    return F.ltrim(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+"))
+
+
 def iso(ts: Column) -> Column:
     return F.when(F.year(ts) <= 9999, F.date_format(ts, "yyyy-MM-dd HH:mm:ss 'UTC'"))
 

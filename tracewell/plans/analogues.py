@@ -201,7 +201,7 @@ def iso_ts(t) -> DataFrame:
 @_query("SELECT DISTINCT l_orderkey, strftime(make_timestamp(((l_orderkey * 1000000000000 + 7 * l_orderkey + 9) // 10)::BIGINT), '%Y-%m-%d %H:%M:%S.%f') AS at FROM lineitem")
 def filetime_ts(t) -> DataFrame:
     ft = F.col("l_orderkey") * 1000000000000 + F.col("l_orderkey") * 7 + 9 + scalars.FILETIME_EPOCH
-    return t("lineitem").select("l_orderkey").distinct().select("l_orderkey", F.date_format(scalars.filetime(ft), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+    return t("lineitem").select("l_orderkey").distinct().select("l_orderkey", scalars.micros_text(scalars.filetime(ft)).alias("at"))
 
 
 @_query("SELECT event_id, 'UTC' || CASE WHEN b > 0 THEN '-' ELSE '+' END || lpad((abs(b) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs(b) % 60)::VARCHAR, 2, '0') AS zone FROM (SELECT event_id, event_id % 1440 - 720 AS b FROM events)")
