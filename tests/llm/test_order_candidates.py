@@ -56,6 +56,24 @@ def test_large_buckets_give_the_classes_of_all_their_pairs(spark):
     assert {r.id: r.class_id for r in got} == {k: root(k) for k in range(len(rows))}
 
 
+def test_search_of_large_buckets_names_only_similar_pairs_once(spark):
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(70)]
+    texts = [passage + [f"w{rng.randrange(10**9)}" for _ in range(30)] for _ in range(300)]
+    texts += [t[:-15] + [f"v{rng.randrange(10**9)}" for _ in range(15)] for t in texts[:5]]
+    hashes = [order_minhash.word_hashes(" ".join(t)) for t in texts]
+    nodes = [bytes([k // 256, k % 256]) for k in range(len(texts))]
+    # Every node is in three large buckets, and in one with those of its own class alone.
+    met = spark.createDataFrame([(q, n, len(nodes)) for q in range(3) for n in nodes] + [(9, n, 100) for n in nodes[:100]], "k long, node binary, n long")
+    classes = spark.createDataFrame([(n, nodes[0]) for n in nodes[:100]], "node binary, class binary")
+    rows = [(n, len(w), (w >> np.uint64(32)).astype(np.uint32).tobytes()) for n, w in zip(nodes, hashes, strict=True)]
+    got = order_minhash.across(met, classes, spark.createDataFrame(rows, "node binary, words int, w binary")).collect()
+    apart = lambda x, y: y >= 100
+    want = {(nodes[x], nodes[y]) for x, y in itertools.combinations(range(len(nodes)), 2) if apart(x, y) and order_minhash.similar(hashes[x], hashes[y]) is not None}
+    assert len(want) >= 5 and len(nodes) > order_minhash.BLOCK
+    assert len(got) == len(want) and {(bytes(r.a), bytes(r.b)) for r in got} == want
+
+
 def test_alignment_by_columns():
     rng = np.random.default_rng(2)
 

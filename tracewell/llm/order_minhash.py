@@ -4,9 +4,9 @@ A text's k-mers are shingles of five words, each labelled with its occurrence nu
 few k-mers with the smallest hashes, put back into text order, are one element of the sketch, so that elements agree
 with a probability that follows edit similarity. Short texts have further elements: similar ones share one always. Equal
 contents are one node. Nodes that share an element are candidates: small buckets give all their pairs. In some of the larger
-ones it is in, each node is linked to the bucket's first node and to the next one in order. Then the pairs of large buckets that these links left in different classes are searched without loss: an edit breaks two
-pairs of neighbouring words at most, so similar texts share one of the rarest of theirs, if each has as many as edits may break
-and one more; nodes meet at these. Lengths, and counts of words where many meet, rule out most; banded alignment of the words
+ones it is in, each node is linked to the bucket's first node and to the next one in order. Then the pairs of large buckets that these
+links left in different classes are searched without loss, each in the first bucket that has both: lengths, counts of words and of
+pairs of words, and alignment of short hashes rule out those that no edits allowed can make alike; banded alignment of the words
 verifies the others. Classes are the connected components of the verified links, as if every pair of every bucket were aligned.
 """
 
@@ -32,11 +32,8 @@ SHORT = 14
 SMALL, LINKED = 8, 3
 #: Nodes in a range of a large bucket's chain.
 RANGE = 1000
-#: Nodes in a block of a large bucket; counters of a text's words; edits that are looked for diagonal by diagonal.
+#: Nodes in a bucket that is one block; counters of a text's words; edits that are looked for diagonal by diagonal.
 BLOCK, BINS, FEW = 256, 128, 12
-#: Nodes at a rare pair of words that give all their pairs; expected nodes from which common pairs of words are known, and the share of
-#: them that makes a pair common. These change the order in which pairs count as rare, so the time, but not what is found.
-MEETING, KNOWN, COMMON = 32, 2000, 0.01
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
@@ -258,6 +255,12 @@ def word_counts(w: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((_mix(w) >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8)
 
 
+def neighbours(w: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs of neighbouring words."""
+    with np.errstate(over="ignore"):
+        return _mix(w[:-1] * np.uint64(_BASE) + w[1:])
+
+
 def _sketches(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,37 +295,6 @@ def _widened(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32).astype(np.uint64)
 
 
-def neighbours(w: np.ndarray) -> np.ndarray:
-    """Occurrence-labelled hashes of the pairs of neighbouring words."""
-    return shingles(w, 2) if len(w) > 1 else w[:0]
-
-
-def _rare(least: float, common: np.ndarray):
-    """For each node its rarest pairs of words, as many as allowed edits may break and one more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, out = batch.column("node").to_pylist(), []
-            for raw in batch.column("w").to_pylist():
-                w = _widened(raw)
-                t = np.sort(neighbours(w))
-                t = t[np.argsort(np.isin(t, common), kind="stable")]
-                out.append(t[: 2 * int(len(w) * (1 - least) + 1e-9) + 1])
-            at = np.repeat(np.arange(len(out)), [len(t) for t in out])
-            values = np.concatenate(out) if out else np.empty(0, np.uint64)
-            for k in range(0, len(at), 50_000):
-                some = at[k : k + 50_000]
-                yield pa.record_batch({"t": pa.array(values[k : k + 50_000].view(np.int64)), "node": pa.array([nodes[i] for i in some], pa.binary()), "words": batch.column("words").take(pa.array(some))})
-
-    return run
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for raw in batch.column("w").to_pylist():
-            yield pa.record_batch({"t": pa.array(neighbours(_widened(raw)).view(np.int64))})
-
-
 def buckets(nodes: DataFrame) -> DataFrame:
     """nodes: node, e (sketch) -> k, node, j, n (nodes in the bucket), first (the smallest), for buckets of two nodes or more."""
     keys = nodes.select("node", F.posexplode("e").alias("j", "k")).select("node", F.least("j", F.lit(ELEMENTS)).alias("j"), "k").select("node", "j", F.xxhash64("j", "k").alias("k"))
@@ -364,45 +336,38 @@ def _chained(met: DataFrame) -> DataFrame:
 def across(met: DataFrame, classes: DataFrame, texts: DataFrame, least: float = SIMILAR) -> DataFrame:
     """met: buckets; classes: node, class; texts: node, words, w -> a, b: pairs of nodes of large buckets, a < b, without repeats.
 
-    Every pair of nodes in different classes that may be similar, as far as their lengths and rarest pairs of words tell.
+    Every pair of nodes in different classes that share a large bucket and may be similar, as far as short hashes of their words tell.
+    Buckets of one class are left out. Others are dealt out to pairs of blocks, so that no task needs all of a bucket; the number of
+    blocks and their size both grow with the root of the bucket's.
     """
-    own = texts.join(met.where(F.col("n") > SMALL).select("node").distinct(), "node", "left_semi").join(classes, "node", "left")
-    own = written(own.select("node", "words", "w", F.coalesce("class", "node").alias("class")), "omh-large")
-    some, n_classes = own.agg(F.count("*"), F.countDistinct("class")).first()
-    if n_classes < 2:
-        return own.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false")
-    known = own.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, KNOWN / some)))
-    # At most 1 / COMMON pairs for each word of a text are common.
-    seen = known.select("w").mapInArrow(_neighbours, "t long").groupBy("t").count().where(F.col("count") >= max(4, COMMON * min(some, KNOWN)))
-    common = np.array([r["t"] for r in seen.select("t").collect()], np.int64).view(np.uint64)
-    rare = written(own.select("node", "words", "w").mapInArrow(_rare(least, common), "t long, node binary, words int"), "omh-rare")
-    sizes = written(rare.groupBy("t").agg(F.count("*").alias("n")).where("n > 1"), "omh-rare-sizes")
-    meet = join_groups(rare, sizes, ["t"], sizes.agg(F.sum("n")).first()[0] or 0, "n", ["node"])
-    meet = written(meet.join(own.select("node", "class"), "node"), "omh-meet")
-    discard(rare, sizes, own)
-    few = meet.where(F.col("n") <= MEETING).groupBy("t").agg(F.sort_array(F.collect_set(F.struct("node", "class", "words"))).alias("g"))
-    left = few.select("g", F.posexplode("g").alias("p", "a")).select("a", F.explode(F.slice("g", F.col("p") + 2, F.size("g"))).alias("b"))
-    top, low = F.greatest("a.words", "b.words"), F.least("a.words", "b.words")
-    near = left.where((F.col("a.class") != F.col("b.class")) & (top - low <= F.floor(top * F.lit(1 - least) + F.lit(1e-9)))).select("a.node", F.col("b.node").alias("b"))
-    return near.toDF("a", "b").unionByName(_blocks(meet.where(F.col("n") > MEETING), texts, least)).distinct()
-
-
-def _blocks(meet: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """meet: t, node, class, words, n -> a, b. Where many nodes meet they are dealt out to pairs of blocks of about BLOCK nodes, so no task needs all."""
-    mixed = meet.groupBy("t").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("t")
-    rows = meet.join(mixed, "t")
-    counted = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "w").mapInArrow(_counted, "node binary, counts binary")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = rows.join(counted, "node").withColumn("p", F.pmod(F.xxhash64("node"), blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    item = F.struct("node", "class", "words", "counts", "p")
-    dealt = rows.groupBy("t", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.collect_list(item).alias("g"))
+    large = met.where(F.col("n") > SMALL).select("k", "node", "n").join(classes, "node", "left")
+    large = written(large.select("k", "node", "n", F.coalesce("class", "node").alias("class")), "omh-large")
+    mixed = written(large.groupBy("k").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("k", "n"), "omh-mixed")
+    rows = written(join_groups(large.drop("n"), mixed, ["k"], _total(mixed, "n"), "n", ["node"]), "omh-meet")
+    own = rows.groupBy("node", "class").agg(F.sort_array(F.collect_list("k")).alias("ks")).join(texts, "node")
+    own = own.select("node", "class", "ks", "w").mapInArrow(_shortened, "node binary, class binary, ks array<bigint>, s binary")
+    blocks = F.ceil(F.sqrt(F.col("n") / BLOCK)).cast("long")
+    dealt = rows.drop("class").join(own, "node").withColumn("p", F.pmod(F.xxhash64("node"), blocks)).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    # Of a node's buckets those before this one tell which pairs were met already.
+    item = F.struct("node", "class", "s", F.filter("ks", lambda x: x < F.col("k")).alias("ks"), "p")
+    dealt = dealt.groupBy("k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).agg(F.collect_list(item).alias("g"))
     return dealt.select("i", "j", "g").mapInArrow(_allowed(least), "a binary, b binary")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as 16 bits each: this may make texts more alike, never less."""
     for batch in batches:
-        counts = [word_counts(_widened(raw)).tobytes() for raw in batch.column("w").to_pylist()]
-        yield pa.record_batch({"node": batch.column("node"), "counts": pa.array(counts, pa.binary())})
+        short = [(np.frombuffer(raw, np.uint32) >> np.uint32(16)).astype(np.uint16).tobytes() for raw in batch.column("w").to_pylist()]
+        yield pa.record_batch({"node": batch.column("node"), "class": batch.column("class"), "ks": batch.column("ks"), "s": pa.array(short, pa.binary())})
+
+
+def _met_before(keys: list[list[int]]) -> np.ndarray:
+    """A row for each node, a column for each key that two or more have: 1 where it has it."""
+    lens = [len(x) for x in keys]
+    every, of, n = np.unique(np.fromiter((k for x in keys for k in x), np.int64, sum(lens)), return_inverse=True, return_counts=True)
+    out = np.zeros((len(keys), len(every)), np.float32)
+    out[np.repeat(np.arange(len(keys)), lens), of] = 1
+    return out[:, n > 1]
 
 
 def _allowed(least: float):
@@ -412,21 +377,35 @@ def _allowed(least: float):
                 x = g.values
                 name = x.field("node").to_pylist()
                 _, of = np.unique(np.array([c.hex() for c in x.field("class").to_pylist()]), return_inverse=True)
-                words, block = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("words", "p"))
-                counts = np.frombuffer(b"".join(x.field("counts").to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+                if of.max() == 0:
+                    continue
+                block = x.field("p").to_numpy(zero_copy_only=False)
+                w = [np.frombuffer(raw, np.uint16).astype(np.uint64) for raw in x.field("s").to_pylist()]
+                words = np.array([len(v) for v in w], np.int64)
+                counts = np.stack([word_counts(v) for v in w]).astype(np.int16)
+                pairs = np.stack([word_counts(neighbours(v)) for v in w]).astype(np.int16)
+                before = _met_before(x.field("ks").to_pylist())
                 left, right = np.flatnonzero(block == i.as_py()), np.flatnonzero(block == j.as_py())
                 a, b = [], []
-                for at in left:
-                    to = right[right > at] if i.as_py() == j.as_py() else right
+                for k, at in enumerate(left):
+                    if k % 256 == 0:
+                        again = before[left[k : k + 256]] @ before[right].T > 0
+                    to = right[~again[k % 256] & (of[right] != of[at])]
+                    if i.as_py() == j.as_py():
+                        to = to[to > at]
                     top = np.maximum(words[to], words[at])
-                    # An edit changes counts and length together by two at most.
-                    room = 2 * (top * (1 - least) + 1e-9).astype(np.int64) - np.abs(words[to] - words[at])
-                    ok = (of[to] != of[at]) & (room >= 0)
-                    to, room = to[ok], room[ok]
-                    for b_at in to[np.abs(counts[to] - counts[at]).sum(1) <= room]:
-                        low, high = sorted((name[at], name[b_at]))
-                        a.append(low)
-                        b.append(high)
+                    most = (top * (1 - least) + 1e-9).astype(np.int64)
+                    more = np.abs(words[to] - words[at])
+                    ok = most >= more
+                    to, most, more = to[ok], most[ok], more[ok]
+                    # An edit changes counts and length together by two at most, those of pairs by four.
+                    ok = np.abs(counts[to] - counts[at]).sum(1) <= 2 * most - more
+                    to, most, more = to[ok], most[ok], more[ok]
+                    for b_at in to[np.abs(pairs[to] - pairs[at]).sum(1) <= 4 * most - more]:
+                        if similar(w[at], w[b_at], least) is not None:
+                            low, high = sorted((name[at], name[b_at]))
+                            a.append(low)
+                            b.append(high)
                 yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
