@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,22 @@ def test_search_of_large_buckets_names_only_similar_pairs_once(spark):
     assert len(got) == len(want) and {(bytes(r.a), bytes(r.b)) for r in got} == want
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from tracewell.llm import common
+
+    held, own = [], spark.conf.get(common.CLEANUP, None)
+    out = common.written(spark.range(5000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    for _ in range(50):
+        held = [f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f]
+        if not held:
+            break
+        time.sleep(0.1)
+    assert not held and out.count() == 7 and spark.conf.get(common.CLEANUP, None) == own
+
+
 def test_alignment_by_columns():
     rng = np.random.default_rng(2)
 

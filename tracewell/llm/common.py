@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same characters, for translate().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
+#: Spark's setting that deletes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +40,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so lost executors cost no recomputation."""
+    """df as a table in the shared folder: its lineage ends there, so lost executors cost no recomputation.
+
+    What was shuffled for it goes as soon as it is written, not when the driver happens to collect its garbage.
+    """
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    own = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if own is None else spark.conf.set(CLEANUP, own)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
